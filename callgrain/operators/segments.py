@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CALL = Window.partitionBy("call_id")
-ORDER = CALL.orderBy("i")
+
+def _call():
+    return Window.partitionBy("call_id")
 
 
 def adaptive_mask(sig: DataFrame, quantile: float = 0.2, above: float = 10.0) -> DataFrame:
     """Speech where the level is more than ``above`` over the call's low quantile."""
-    low = F.percentile("x", F.lit(quantile)).over(CALL)
+    low = F.percentile("x", F.lit(quantile)).over(_call())
     return sig.withColumn("speech", F.col("x") > low + above)
 
 
 def fallback_mask(sig: DataFrame, floor: float = -45.0, above: float = 6.0, flat: float = 6.0) -> DataFrame:
     """Speech over an absolute floor, or over the low quantile if the call is not flat."""
-    low, high = F.percentile("x", F.lit(0.2)).over(CALL), F.percentile("x", F.lit(0.95)).over(CALL)
+    low, high = F.percentile("x", F.lit(0.2)).over(_call()), F.percentile("x", F.lit(0.95)).over(_call())
     limit = F.when(high - low < flat, F.lit(floor)).otherwise(F.greatest(F.lit(floor), low + above))
     return sig.withColumn("speech", F.col("x") > limit)
 
@@ -32,7 +33,7 @@ def runs(mask: DataFrame) -> DataFrame:
 def hangover(mask: DataFrame, longest: int) -> DataFrame:
     """Fills runs of silence inside a call of ``longest`` frames at most."""
     found = runs(mask)
-    ends = found.withColumn("low", F.min("first_i").over(CALL)).withColumn("high", F.max("last_i").over(CALL))
+    ends = found.withColumn("low", F.min("first_i").over(_call())).withColumn("high", F.max("last_i").over(_call()))
     fill = ~F.col("speech") & (F.col("n") <= longest) & (F.col("first_i") > F.col("low")) & (F.col("last_i") < F.col("high"))
     filled = ends.withColumn("speech", F.col("speech") | fill)
     return filled.select("call_id", "speech", F.explode(F.sequence("first_i", "last_i")).alias("i"))
@@ -44,7 +45,7 @@ def speech_segments(mask: DataFrame, shortest: int) -> DataFrame:
 
 def merge_gaps(segments: DataFrame, gap: float) -> DataFrame:
     """(call_id, start_s, end_s, parts) of segments joined where the gap is under ``gap``; equal is not joined."""
-    order = CALL.orderBy("start_s")
+    order = _call().orderBy("start_s")
     new = F.coalesce((F.col("start_s") - F.lag("end_s").over(order) >= gap).cast("int"), F.lit(1))
     numbered = segments.withColumn("new", new).withColumn("part", F.sum("new").over(order))
     return numbered.groupBy("call_id", "part").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("parts")).drop("part")
@@ -59,7 +60,7 @@ def cut_runs(segments: DataFrame, shortest: float, longest: float) -> DataFrame:
 
 
 def gap_stats(turns: DataFrame, long_gap: float = 2.5) -> DataFrame:
-    order = CALL.orderBy("turn_ix")
+    order = _call().orderBy("turn_ix")
     gaps = turns.withColumn("gap", F.col("start_s") - F.lag("end_s").over(order)).filter("gap is not null")
     share: Column = F.avg((F.col("gap") > long_gap).cast("double"))
     return gaps.groupBy("call_id").agg(
