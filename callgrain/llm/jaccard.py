@@ -2,8 +2,8 @@
 
 A document is its set of distinct word shingles. Sets that link share a token in their
 prefixes under any order of the tokens, so candidates are pairs that share prefix tokens
-under several orders: the first order meets in Spark's shuffle, the others are intersected
-with it before two sets are compared. All orders put frequent tokens last.
+under several orders: the first order meets in Spark's shuffle, then as many tokens must
+be shared under the second, and one under the third, before two sets are compared. All orders put frequent tokens last.
 
 Equal sets are one class from the start. Within a token's group not all pairs are made:
 first each member is compared with the group's member of lowest token position; only
@@ -214,62 +214,81 @@ def _cross(table: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
 
-def _linked(threshold: int, frequent):
-    """Links (a, b). Rows (hub, salt, is_hub, class, tokens) come sorted, a hub before those it is compared with."""
+def _compared(batches: Iterator[pa.RecordBatch], threshold: int, holds, made) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) for which ``holds(hub, other)``. Rows (hub, salt, is_hub, class, n, tokens) come sorted, a hub before those it is compared with."""
+    hub, kept, size = None, None, 0
+    for batch in batches:
+        out = []
+        for own, _, is_hub, c, n, blob in zip(*batch.to_pydict().values(), strict=True):
+            if is_hub:
+                if own != hub:
+                    hub, kept, size = own, made(n, np.frombuffer(blob, np.uint64)), n
+            elif own == hub and c != own and 100 * min(n, size) >= threshold * max(n, size) and holds(kept, made(n, np.frombuffer(blob, np.uint64))):
+                out.append((own, c))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    def share_prefixes(x: list[np.ndarray], y: list[np.ndarray]) -> bool:
-        return all(np.isin(p, q, assume_unique=True).any() for p, q in zip(x, y, strict=True))
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, hub, tokens, heads = frequent.value, None, None, None
-        for batch in batches:
-            out = []
-            for own, _, is_hub, c, blob in zip(*batch.to_pydict().values(), strict=True):
-                s = np.frombuffer(blob, np.uint64)
-                n = prefix(len(s), threshold)
-                if is_hub:
-                    if own != hub:
-                        hub, tokens, heads = own, s, [ranked(s, common, k)[:n] for k in ORDERS[1:]]
-                    continue
-                if own != hub or c == own or 100 * min(len(s), len(tokens)) < threshold * max(len(s), len(tokens)):
-                    continue
-                if share_prefixes(heads, [ranked(s, common, k)[:n] for k in ORDERS[1:]]):
-                    shared = len(np.intersect1d(s, tokens, assume_unique=True))
-                    if 100 * shared >= threshold * (len(s) + len(tokens) - shared):
-                        out.append((own, c))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _prefixes_share(threshold: int):
+    """Under a second order: of two prefixes, as many tokens are shared as sets of these sizes must share there to link."""
+
+    def holds(x: tuple, y: tuple) -> bool:
+        (n, p), (m, q) = x, y
+        least = -(-threshold * (n + m) // (100 + threshold))
+        need = max(1, min(len(p) - (n - least), len(q) - (m - least)))
+        return len(np.intersect1d(p, q, assume_unique=True)) >= need
+
+    return lambda batches: _compared(batches, threshold, holds, lambda n, tokens: (n, tokens))
+
+
+def _sets_link(threshold: int, frequent):
+    """Under a third order, and then by the sets themselves."""
+
+    def made(n: int, tokens: np.ndarray) -> tuple:
+        return tokens, ranked(tokens, frequent.value, ORDERS[2])[: prefix(n, threshold)]
 
-    return linked
+    def holds(x: tuple, y: tuple) -> bool:
+        (s, p), (t, q) = x, y
+        if not np.isin(p, q, assume_unique=True).any():
+            return False
+        shared = len(np.intersect1d(s, t, assume_unique=True))
+        return 100 * shared >= threshold * (len(s) + len(t) - shared)
 
+    return lambda batches: _compared(batches, threshold, holds, made)
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int, frequent) -> DataFrame:
-    """Pairs that link. Each set goes once to each hub it is compared with; a hub with many has several tasks."""
+
+def _where(pairs: DataFrame, sets: DataFrame, compare) -> DataFrame:
+    """The pairs that ``compare`` finds. Each set goes once to each hub it is compared with; a hub with many has several tasks."""
     spark = pairs.sparkSession
-    pairs = written(pairs.distinct())
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
     hubs = fans.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(True).alias("is_hub"), F.col("a").alias("class"))
     spokes = attach_groups(pairs.withColumnRenamed("a", "hub"), fans.select(F.col("a").alias("hub"), "fans", (F.col("fans") * FAN).alias("most")), "hub", "most", max(1, pairs.count()))
     spokes = spokes.select("hub", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("salt"), F.lit(False).alias("is_hub"), F.col("b").alias("class"))
-    met = hubs.unionByName(spokes).join(sets.hint("merge"), "class").select("hub", "salt", "is_hub", "class", "tokens")
+    met = hubs.unionByName(spokes).join(sets.hint("merge"), "class").select("hub", "salt", "is_hub", "class", "n", "tokens")
     dealt = met.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
-    return written(arrow_map(dealt, _linked(threshold, frequent), "a long, b long"))
+    return written(arrow_map(dealt, compare, "a long, b long"))
+
 
+def _sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, cut) -> DataFrame:
+    """(class, n, tokens) of the wanted classes, from the document with the least id of each, and of a few others.
 
-def _sets_of(words: int, wanted):
-    """(class, tokens) of the documents whose class may be a candidate."""
+    Documents are chosen by a filter of ids of bounded size; a text whose id is not in it is not hashed.
+    """
+    ids = classes.join(wanted.distinct(), "class", "left_semi").select(F.xxhash64("least").alias("h"))
+    bits = filter_bits(ids.count())
+    filled = rows.sparkSession.sparkContext.broadcast(bitmap_bytes(ids.select(F.expr(f"h & {bits - 1}").alias("slot")), bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
         for batch in batches:
-            out = []
-            for s in shingle_sets(text_bytes(batch.column(0)), words):
-                own = class_of(s)
-                if len(s) and in_bitmap(bits, np.array([own]))[0] and int(own) not in seen:
-                    seen.add(int(own))
-                    out.append((int(np.uint64(own).view(np.int64)), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["class", "tokens"])
+            chosen = in_bitmap(filled.value, batch.column(0).to_numpy().view(np.uint64))
+            texts = text_bytes(batch.column(1).filter(pa.array(chosen)))
+            out = [(int(np.uint64(class_of(s)).view(np.int64)), len(s), cut(s).tobytes()) for s in shingle_sets(texts, words) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["class", "n", "tokens"])
+
+    return arrow_map(rows.select(F.xxhash64("doc_id"), "text"), sets, "class long, n long, tokens binary")
 
-    return sets
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     Repeated rows are equal sets. Further columns are not read; doc_id must be a whole number.
 
     Tasks hold one bucket of prefix tokens at a time; the list of frequent tokens (an order's
-    hint, 2 MB at most) and the filter of candidates (16 MB at most) are broadcast. Neither
+    hint, 2 MB at most) and the filters of candidates (16 MB at most) are broadcast. Neither
     changes a result. Sets are known by 64-bit hashes of shingles and of sets.
     """
     spark = docs.sparkSession
@@ -298,18 +317,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     dealt = arrow_map(rows.select("text"), _prefixes(words, threshold, frequent, buckets), "bucket int, tokens binary, classes binary, sizes binary, places binary")
     met = written(dealt.repartition(partitions(spark), "bucket").mapInArrow(_stars(threshold), "a long, b long, group long, n long, place long"))
     pairs, groups = met.filter("group is null").select("a", "b").distinct(), met.filter("group is not null").drop("b")
-    wanted = pairs.select("a").union(pairs.select("b")).union(groups.select("a")).distinct()
-    bits = filter_bits(wanted.count())
-    filled = sc.broadcast(bitmap_bytes(wanted.select(F.expr(f"a & {bits - 1}").alias("slot")), bits))
-    sets = written(arrow_map(rows.select("text"), _sets_of(words, filled), "class long, tokens binary")).dropDuplicates(["class"])
-    links = _links(pairs, sets, threshold, frequent)
+
+    def head(tokens: np.ndarray) -> np.ndarray:
+        return np.sort(ranked(tokens, frequent.value, ORDERS[1])[: prefix(len(tokens), threshold)])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct())
+        near = _where(pairs, _sets_of(rows, classes, _ends(pairs), words, head), _prefixes_share(threshold))
+        return _where(near, _sets_of(rows, classes, _ends(near), words, lambda tokens: tokens), _sets_link(threshold, frequent))
+
+    links = linked(pairs)
     labels = components(links)
     labelled = groups.join(labels.withColumnRenamed("id", "a"), "a", "left").select("group", "a", "n", "place", F.coalesce("component", "a").alias("label"))
     mixed_groups = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("group")
     open_groups = labelled.join(mixed_groups, "group", "left_semi")
     across = open_groups.repartition(partitions(spark), "group").sortWithinPartitions("group", "a").mapInArrow(_across(threshold), "a long, b long")
-    more = _links(across, sets, threshold, frequent)
-    labels = components(links.unionByName(more)).withColumnRenamed("id", "class")
+    labels = components(links.unionByName(linked(across))).withColumnRenamed("id", "class")
     known = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(known.join(least, "component").select("class", "component_id", "copies"))
