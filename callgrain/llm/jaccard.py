@@ -8,6 +8,8 @@ be shared under the second, and one under the third, before two sets are compare
 Equal sets are one class from the start. Within a token's group not all pairs are made:
 first each member is compared with the group's member of lowest token position; only
 members that are still in different components after that are compared with one another.
+Both kinds of pairs first pass a check of the sets' parity bits, one bit or two a token: the
+bits in which two sketches differ are no more than the tokens in which the sets do.
 """
 
 from __future__ import annotations
@@ -62,20 +64,43 @@ def ranked(tokens: np.ndarray, frequent: np.ndarray, seed: int) -> np.ndarray:
     return tokens[np.lexsort((mixed(tokens, seed), common))]
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by slot, in 64-bit words; the slots are a power of two, as many as tokens or more."""
+    bits = 1 << max(6, (max(1, len(tokens)) - 1).bit_length())
+    odd = np.bincount((mixed(tokens, 31) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _halved(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of fewer slots: upper halves fall on lower ones until ``width`` words are left."""
+    while x.shape[-1] > width:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: np.ndarray | int, threshold: int) -> np.ndarray:
+    """Sketch x of a set of n tokens against sketches y of sets of m: False where too many bits differ for a link."""
+    width = min(x.shape[-1], y.shape[-1])
+    differ = np.bitwise_count(_halved(x, width) ^ _halved(y, width)).sum(-1, dtype=np.int64)
+    shared = -(-threshold * (n + m) // (100 + threshold))  # at the least, if they link
+    return differ <= n + m - 2 * shared
+
+
 def prefix(n: int, threshold: int) -> int:
     """Tokens of a set of n of which one at least is shared with any set that links."""
     return n - -(-threshold * n // 100) + 1
 
 
 def _summaries(words: int):
-    """(doc_id, n, class) for each row, and (token, n) for tokens that are often met, under a null class."""
+    """(doc_id, n, class, sketch) for each row, and (token, n) for tokens that are often met, under a null class."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            rows = [(len(s), int(class_of(s))) for s in map(_hold(held), shingle_sets(text_bytes(batch.column(1)), words))]
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.nulls(len(rows), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "class", "token"])
+            rows = [(len(s), int(class_of(s)), sketch(s).tobytes()) for s in map(_hold(held), shingle_sets(text_bytes(batch.column(1)), words))]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.nulls(len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "class", "token", "sketch"])
             size = sum(map(len, held))
             if size > LOCAL:
                 yield _often(held)
@@ -97,7 +122,8 @@ def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     tokens, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
     tokens, n = tokens[n >= OFTEN], n[n >= OFTEN]
     none = pa.nulls(len(n), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.array(signed(tokens))], ["doc_id", "n", "class", "token"])
+    columns = [none, pa.array(n.astype(np.int64)), none, pa.array(signed(tokens)), pa.nulls(len(n), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "token", "sketch"])
 
 
 def _prefixes(words: int, threshold: int, frequent, buckets: int):
@@ -198,16 +224,26 @@ def _across(threshold: int):
 
 def _cross(table: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
     group, a, n, place, label = (table.column(i).to_numpy() for i in range(5))
+    sketches = [np.frombuffer(x, np.uint64) for x in table.column(5).to_pylist()]
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
     for s, e in zip(starts, np.r_[starts[1:], len(group)][: len(starts)], strict=True):
         own = label[s:e]
         labels, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
         if len(labels) < 2:
             continue
+        width = np.array([len(x) for x in sketches[s:e]])
+        row, by_width = np.zeros(e - s, np.int64), {}
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            row[at], by_width[int(w)] = np.arange(len(at)), np.stack([sketches[s + j] for j in at])
         # every pair across labels has an end outside one of the largest label's members
         for i in s + np.flatnonzero(inverse != counts.argmax()):
-            other = np.arange(s, e)
-            other = other[(own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold)]
+            other = np.flatnonzero((own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold))
+            near = [other[:0]]
+            for w in np.unique(width[other]):
+                at = other[width[other] == w]
+                near.append(at[_may_link(sketches[i], n[i], by_width[int(w)][row[at]], n[s + at], threshold)])
+            other = s + np.concatenate(near)
             if len(other):
                 b = a[other]
                 pairs = np.minimum(a[i], b), np.maximum(a[i], b)
@@ -228,6 +264,11 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: int, holds, made) ->
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def _sketches_near(threshold: int):
+    """The parity bits allow a link."""
+    return lambda batches: _compared(batches, threshold, lambda x, y: _may_link(*x, *y, threshold), lambda n, bits: (bits, n))
+
+
 def _prefixes_share(threshold: int):
     """Under a second order: of two prefixes, as many tokens are shared as sets of these sizes must share there to link."""
 
@@ -273,7 +314,7 @@ def _sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int,
 
     Documents are chosen by a filter of ids of bounded size; a text whose id is not in it is not hashed.
     """
-    ids = classes.join(wanted.distinct(), "class", "left_semi").select(F.xxhash64("least").alias("h"))
+    ids = written(classes.join(wanted.distinct(), "class", "left_semi").select(F.xxhash64("least").alias("h")))
     bits = filter_bits(ids.count())
     filled = rows.sparkSession.sparkContext.broadcast(bitmap_bytes(ids.select(F.expr(f"h & {bits - 1}").alias("slot")), bits))
 
@@ -307,16 +348,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    summed = written(arrow_map(rows, _summaries(words), "doc_id long, n long, class long, token long"))
-    digests = summed.filter("token is null").drop("token")
+    summed = written(arrow_map(rows, _summaries(words), "doc_id long, n long, class long, token long, sketch binary"))
+    digests = summed.filter("token is null").drop("token", "sketch")
     often = summed.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MOST).select("token").collect()
     frequent = sc.broadcast(np.sort(np.array([r.token for r in often], np.int64).view(np.uint64)))
     total, tokens = digests.agg(F.count("*"), F.sum("n")).first()
-    classes = written(digests.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    filled = summed.filter("token is null and n > 0").groupBy("class")
+    classes = written(filled.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(partitions(spark), (tokens or 0) * (100 - threshold) // 100 // 400_000)
     dealt = arrow_map(rows.select("text"), _prefixes(words, threshold, frequent, buckets), "bucket int, tokens binary, classes binary, sizes binary, places binary")
     met = written(dealt.repartition(partitions(spark), "bucket").mapInArrow(_stars(threshold), "a long, b long, group long, n long, place long"))
-    pairs, groups = met.filter("group is null").select("a", "b").distinct(), met.filter("group is not null").drop("b")
+    pairs = met.filter("group is null").select("a", "b").distinct()
+    # groups of the same members come from several buckets
+    groups = met.filter("group is not null").groupBy("group", "a").agg(F.first("n").alias("n"), F.min("place").alias("place"))
+    sketches = classes.select("class", "n", F.col("sketch").alias("tokens"))
 
     def head(tokens: np.ndarray) -> np.ndarray:
         return np.sort(ranked(tokens, frequent.value, ORDERS[1])[: prefix(len(tokens), threshold)])
@@ -326,14 +371,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
         near = _where(pairs, _sets_of(rows, classes, _ends(pairs), words, head), _prefixes_share(threshold))
         return _where(near, _sets_of(rows, classes, _ends(near), words, lambda tokens: tokens), _sets_link(threshold, frequent))
 
-    links = linked(pairs)
+    links = linked(_where(written(pairs), sketches, _sketches_near(threshold)))
     labels = components(links)
     labelled = groups.join(labels.withColumnRenamed("id", "a"), "a", "left").select("group", "a", "n", "place", F.coalesce("component", "a").alias("label"))
     mixed_groups = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("group")
-    open_groups = labelled.join(mixed_groups, "group", "left_semi")
+    open_groups = labelled.join(mixed_groups, "group", "left_semi").join(classes.select(F.col("class").alias("a"), "sketch"), "a").select("group", "a", "n", "place", "label", "sketch")
     across = open_groups.repartition(partitions(spark), "group").sortWithinPartitions("group", "a").mapInArrow(_across(threshold), "a long, b long")
     labels = components(links.unionByName(linked(across))).withColumnRenamed("id", "class")
-    known = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    known = classes.select("class", "least", "copies").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(known.join(least, "component").select("class", "component_id", "copies"))
     out = attach_groups(digests, named, "class", "copies", total)

@@ -265,6 +265,18 @@ def test_near_duplicates(spark, edges, monkeypatch, often):
     assert jaccard.one_of_each(edges).columns == edges.columns
 
 
+def test_parity_bits_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        pool = rng.integers(0, 2**63, 460).astype(np.uint64)
+        n = int(rng.integers(1, 400))
+        a = np.unique(pool[:n])
+        b = np.unique(np.r_[pool[int(rng.integers(0, 1 + n // 5)) : n], pool[400 : 400 + int(rng.integers(0, 60))]])
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 80 * (len(a) + len(b) - shared):
+            assert jaccard._may_link(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b), 80)
+
+
 def test_pipeline_stages_keep_clean_documents(spark, texts):
     import corpus_pipeline
 
