@@ -12,17 +12,22 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm._shared import arrow_map, partitions, written
-from callgrain.llm.tokens import cut
+from callgrain.llm.tokens import PIECES, byte_letters, cut
 
-#: Parts whose ids a worker remembers before it starts anew.
-MEMO = 300_000
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+#: Parts, and pieces, whose ids a worker remembers before it starts anew.
+MEMO = 500_000
 #: Open bins in the second round's tasks: all that one task gets.
 ROUND_BINS = 4096
 
@@ -65,8 +70,26 @@ class BestFit:
                 yield own, self.size - space
 
 
+class _Pieces(dict):
+    """Little-endian unsigned 32-bit ids of the pieces that the vocabulary's pattern gives."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenize = tokenizer.model.tokenize
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.letters[ord(" ")])
+        else:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = self[piece] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return ids
+
+
 class _Ids(dict):
-    """Little-endian unsigned 32-bit ids of the parts that cut() gives."""
+    """The same of the parts that cut() gives."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -76,26 +99,23 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self[""] = b""
+        self.pieces, self.split = _Pieces(self.tokenizer), regex.compile(PIECES).findall
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.whole(part)
+        if len(self) > MEMO:
+            self.clear()
+        ids = self[part] = b"".join(map(self.pieces.__getitem__, self.split(part)))
         return ids
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of whole texts: parts known from earlier ones are not tokenised again."""
-        if len(self) > MEMO:
-            self.clear()
-            self[""] = b""
-        parts = [None if t is None or any(m in t for m in self.marks) else cut(t) for t in texts]
-        new = list({x for p in parts if p is not None for x in p if x not in self})
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[part] = array("I", found.ids).tobytes()
-        for text, p in zip(texts, parts, strict=True):
-            yield self.whole(text or "") if p is None else b"".join(map(self.__getitem__, p))
+    def of(self, text: str | None) -> bytes:
+        """Ids of a whole text: parts and pieces known from earlier ones are not tokenised again."""
+        if not text:
+            return b""
+        parts = None if any(m in text for m in self.marks) else cut(text)
+        return self.whole(text) if parts is None else b"".join(map(self.__getitem__, parts))
 
 
 _ids: dict[str, _Ids] = {}
@@ -142,7 +162,7 @@ def packed(
         task = TaskContext.get().partitionId() << 32
         for batch in batches:
             names, rows = batch.column(0), {k: [] for k in ("at", "piece", "start", "length", "crc", "bin", "offset", "ids")}
-            for at, body in enumerate(ids.of(batch.column(1).to_pylist())):
+            for at, body in enumerate(map(ids.of, batch.column(1).to_pylist())):
                 body += end
                 for piece, (start, length) in enumerate(pieces(len(body) // 4, size)):
                     own, offset = best.put(length)

@@ -40,7 +40,7 @@ def cut(text: str) -> list[str] | None:
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The vocabulary's letter for each byte: printable ones stand for themselves, the rest follow from 256 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -53,7 +53,7 @@ class MergeCounter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         symbol = {x: i for i, x in enumerate(spec["model"]["vocab"])}
         self.first = [0] * 256
         for letter, byte in letters.items():
