@@ -8,6 +8,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from callgrain.llm import exact_dedup, jaccard, language, mixing, packing, pii, queries, substring, tokens, topk, warc
 
@@ -70,6 +72,20 @@ def test_packing_is_a_partition_of_the_ids(spark, texts, edges):
     assert packing.packed(edges.limit(0), queries.vocabulary()).count() == 0
 
 
+@given(st.text(st.one_of(st.sampled_from(" \n'.,1a\x01\x7f\xad\u200b\u0301é漢😀"), st.characters(codec="utf-8")), max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_ids_are_the_librarys(text):
+    ids = packing.ids_of(queries.vocabulary())
+    assert ids.of(text) == ids.whole(text)
+
+
+def test_forgotten_ids_are_found_again(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 1)
+    ids = packing.ids_of(queries.vocabulary())
+    text = "one two, one\ntwo three " * 20 + "one"
+    assert ids.of(text) == ids.whole(text)
+
+
 def test_topk_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)
