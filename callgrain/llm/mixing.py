@@ -22,8 +22,8 @@ from callgrain.llm._shared import written
 REPEATS = 3
 #: Buckets of the seeded order within a pattern; documents are put in order in one of them only.
 BUCKETS = 4096
-#: Documents to choose the last ones from.
-EDGE = 64
+#: Documents put in order at once, at the first cut and at later ones; any number of cuts follows.
+EDGE, LATER = 64, 1 << 16
 #: Patterns and sources that the driver's flow takes; beyond that the operator refuses.
 MOST_PATTERNS = 50_000
 
@@ -118,6 +118,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Sums by pattern and bucket are made before the shuffle, so a hot source is no more
     than BUCKETS rows; only documents of a bucket a pattern, or EDGE of them, are put in order.
+    Room that these leave goes to later documents that fit, by sums and buckets again,
+    until none is left that fits.
     The flow works on one number a pattern; beyond MOST_PATTERNS it raises.
     """
     spark = docs.sparkSession
@@ -131,7 +133,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = rows.withColumn("bucket", F.shiftrightunsigned(F.col("key"), 52).cast("int"))
     if not keep_rows:
         rows = written(rows)
-    hist = written(rows.groupBy("members", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    narrow = written(rows.select("members", "bucket", "key", "size")) if keep_rows else rows.select("members", "bucket", "key", "size")
+    hist = written(narrow.groupBy("members", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     patterns = hist.groupBy("members").agg(F.sum("size").alias("size")).orderBy("members").limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -148,12 +151,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         rest = 0 if times == REPEATS else round(words - times * p["size"])
         plan.append((p.members, len(plan), times, rest, sum(sizes[s] for s in own), float(sum(quota[s] for s in own))))
     table = spark.createDataFrame(plan, "members string, pattern int, times int, rest long, source_size long, target double")
-    placed = rows.join(F.broadcast(_cuts(hist, table)), "members")
-    at_cut = placed.filter("bucket between cut and last").groupBy("pattern", "key", "room").agg(F.sum("size").alias("size"))
-    chosen = written(at_cut.groupBy("pattern").applyInPandas(_fill, "pattern int, key long, chosen boolean"))
-    # only rows of these buckets can have a match; the others are not shuffled
-    edge = placed.filter("bucket between cut and last").join(chosen, ["pattern", "key"], "left")
-    inner = placed.filter("bucket not between cut and last").withColumn("chosen", F.col("bucket") < F.col("cut"))
+    marks, chosen = _chosen(narrow, hist, table)
+    placed = rows.join(F.broadcast(marks), "members")
+    # only rows of these buckets and sizes can have a match; the others are not shuffled
+    asked = F.col("bucket").between(F.col("cut"), F.col("until")) & ((F.col("bucket") <= F.col("last")) | (F.col("size") < F.col("bound")))
+    edge = placed.filter(asked).join(chosen, ["pattern", "key"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    inner = placed.filter(~asked).withColumn("chosen", F.col("bucket") < F.col("cut"))
     out = inner.unionByName(edge)
     times = F.when(F.col("size") > 0, F.col("times") + F.col("chosen").cast("int")).otherwise(0)
     if keep_rows:
@@ -161,35 +164,89 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
-def _cuts(hist: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan with the buckets, cut to last, in which each pattern's rest is met, and the room left at their start.
+def _chosen(narrow: DataFrame, hist: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan with marks, and (pattern, key, chosen) of the documents taken from the first cut on.
 
-    That is one bucket, and as many more as it takes to choose from EDGE documents.
+    All of a bucket before ``cut`` are taken. Taken ones after it are in buckets to
+    ``until``, and if past ``last``, of sizes under ``bound``. In seeded order, a document is
+    taken if it still fits. Room never grows, so one that did not fit is not asked again, and
+    each round takes at least one document of those that still fit, or ends.
     """
-    every = hist.join(F.broadcast(plan), "members")
-    own = Window.partitionBy("members").orderBy("bucket")
-    every = every.withColumn("upto", F.sum("size").over(own)).withColumn("seen", F.sum("n").over(own) - F.col("n"))
-    met = every.filter(F.col("upto") > F.col("rest")).withColumn("past", F.col("seen") - F.min("seen").over(Window.partitionBy("members")))
+    spark = plan.sparkSession
+    own = plan.select("members", "pattern", "rest")
+    first = written(_cuts(hist.join(F.broadcast(own), "members"), EDGE))
+    at_cut = narrow.join(F.broadcast(own.join(first, "pattern")), "members").filter("bucket between cut and last")
+    at_cut = at_cut.groupBy("pattern", "bucket", "key", "room").agg(F.sum("size").alias("size"))
+    steps = [written(at_cut.groupBy("pattern").applyInPandas(_fill, _FILLED))]
+    rooms, ends = _rooms(steps[0]), {r.pattern: r["last"] for r in first.select("pattern", "last").collect()}
+    bounds, fits = dict(rooms), None
+    after = {p: (ends[p], room) for p, room in rooms.items() if room > 0}
+    while after:
+        state = F.broadcast(spark.createDataFrame([(p, *at) for p, at in after.items()], "pattern int, after int, rest long"))
+        if fits is None:
+            fits = narrow.join(F.broadcast(own.drop("rest").join(state, "pattern")), "members").filter("bucket > after and size between 1 and rest")
+            fits = written(fits.groupBy("pattern", "bucket", "key").agg(F.sum("size").alias("size")))
+        left = fits.join(state, "pattern").filter("bucket > after and size <= rest").drop("after")
+        sums = left.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        cuts = written(_cuts(sums, LATER))
+        placed = left.join(F.broadcast(cuts), "pattern")
+        whole = placed.filter("bucket < cut").select("pattern", "bucket", "key", "size", F.lit(True).alias("chosen"), "room")
+        filled = placed.filter("bucket between cut and last").select("pattern", "bucket", "key", "size", "room").groupBy("pattern").applyInPandas(_fill, _FILLED)
+        steps.append(written(whole.unionByName(filled)))
+        # room is what was left at the cut, so rows of whole buckets do not count against it
+        rooms |= _rooms(steps[-1].join(F.broadcast(cuts.select("pattern", "cut")), "pattern").withColumn("chosen", F.expr("chosen and bucket >= cut")))
+        after = {r.pattern: (r["last"], rooms[r.pattern]) for r in cuts.collect() if r["last"] < BUCKETS and rooms[r.pattern] > 0}
+    taken = steps[0]
+    for step in steps[1:]:
+        taken = taken.unionByName(step)
+    taken = taken.filter("chosen").select("pattern", "bucket", "key")
+    # the smallest document not taken may go over if that comes nearer
+    short = spark.createDataFrame([(p, room) for p, room in rooms.items() if room > 0], "pattern int, short long")
+    over = narrow.join(F.broadcast(own.drop("rest").join(first, "pattern").join(short, "pattern")), "members").filter("bucket >= cut and size > 0 and size < 2 * short")
+    over = over.groupBy("pattern", "bucket", "key", "short").agg(F.sum("size").alias("size")).filter("size < 2 * short")
+    over = over.join(taken, ["pattern", "bucket", "key"], "left_anti").groupBy("pattern").agg(F.min(F.struct("size", "bucket", "key")).alias("doc"))
+    taken = written(taken.unionByName(over.select("pattern", "doc.bucket", "doc.key")))
+    until = taken.groupBy("pattern").agg(F.max("bucket").alias("until"))
+    bound = spark.createDataFrame([(p, 2 * room) for p, room in bounds.items()], "pattern int, bound long")
+    marks = plan.join(first.drop("room"), "pattern", "left").join(until, "pattern", "left").join(bound, "pattern", "left")
+    marks = marks.fillna({"cut": BUCKETS, "last": BUCKETS, "until": -1, "bound": 0})
+    return written(marks), taken.select("pattern", "key", F.lit(True).alias("chosen"))
+
+
+def _cuts(sums: DataFrame, edge: int) -> DataFrame:
+    """pattern, the buckets, cut to last, in which each pattern's rest is met, and the room left at their start.
+
+    That is one bucket, and as many more as it takes to choose from ``edge`` documents. If all fit, both are BUCKETS,
+    and room is what they leave.
+    """
+    own = Window.partitionBy("pattern").orderBy("bucket")
+    every = sums.withColumn("upto", F.sum("size").over(own)).withColumn("seen", F.sum("n").over(own) - F.col("n"))
+    met = every.filter(F.col("upto") > F.col("rest")).withColumn("past", F.col("seen") - F.min("seen").over(Window.partitionBy("pattern")))
     room = F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("size")).alias("room"))
-    first = met.filter(F.col("past") < EDGE).groupBy("members").agg(F.min_by(room, "bucket").alias("at"), F.max("bucket").alias("last"))
-    return plan.join(first, "members", "left").select(
-        "members", "times", "source_size", "target", "pattern", F.coalesce("at.bucket", F.lit(BUCKETS)).alias("cut"), F.coalesce("last", F.lit(BUCKETS)).alias("last"), F.coalesce("at.room", F.lit(0)).alias("room")
+    first = met.filter(F.col("past") < edge).groupBy("pattern").agg(F.min_by(room, "bucket").alias("at"), F.max("bucket").alias("last"))
+    total = sums.groupBy("pattern").agg((F.first("rest") - F.sum("size")).alias("spare"))
+    return total.join(first, "pattern", "left").select(
+        "pattern", F.coalesce("at.bucket", F.lit(BUCKETS)).alias("cut"), F.coalesce("last", F.lit(BUCKETS)).alias("last"), F.coalesce("at.room", "spare").alias("room")
     )
 
 
+_FILLED = "pattern int, bucket int, key long, size long, chosen boolean, room long"
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """In seeded order, takes what still fits; the last document may go over if that comes nearer."""
-    rows = rows.sort_values("key")
-    room, chosen, over = int(rows.room.iloc[0]), [], None
-    for at, size in enumerate(rows["size"]):
+    """In seeded order, takes what still fits."""
+    rows = rows.sort_values(["bucket", "key"])
+    room, chosen = int(rows.room.iloc[0]), []
+    for size in rows["size"].tolist():
         chosen.append(size <= room)
         room -= size * (size <= room)
-    for at, size in enumerate(rows["size"]):
-        if not chosen[at] and size - room < room and (over is None or size < rows["size"].iloc[over]):
-            over = at
-    if over is not None:
-        chosen[over] = True
-    return rows.assign(chosen=chosen)[["pattern", "key", "chosen"]]
+    return rows.assign(chosen=chosen)[["pattern", "bucket", "key", "size", "chosen", "room"]]
+
+
+def _rooms(step: DataFrame) -> dict[int, int]:
+    """What is left of each pattern's room."""
+    left = F.max("room") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))
+    return {r.pattern: r.left for r in step.groupBy("pattern").agg(left.alias("left")).collect()}
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:

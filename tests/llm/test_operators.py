@@ -191,6 +191,29 @@ def test_mix_meets_targets(spark, edges):
     assert mixing.mixed_documents(edges).columns == edges.columns
 
 
+@pytest.mark.parametrize("later", [1 << 16, 3])
+def test_mix_fills_the_room_before_a_long_document(spark, monkeypatch, later):
+    monkeypatch.setattr(mixing, "LATER", later)
+    monkeypatch.setattr(mixing, "EDGE", 4)
+    rng, rows = random.Random(5), []
+    for source, long in (("a", 60_000), ("b", 60_000), ("c", 200)):
+        sizes = [long, *[rng.randint(20, 200) for _ in range(500)]]
+        rows += [(f"{source}{i}", "w " * n, source) for i, n in enumerate(sizes)]
+    rows += [("r", "w " * 50, "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    for seed in range(2):
+        found = mixing.mixed(docs, seed=seed).collect()
+        assert len(found) == len(rows) and len({r.taken for r in found if r.doc_id == "r"}) == 1
+        taken, target = defaultdict(int), {}
+        for r in found:
+            taken[r.doc_id[0].replace("r", "a")] += r.taken
+            target[r.doc_id[0].replace("r", "a")] = r.target
+        assert all(abs(taken[s] - target[s]) <= 100 for s in target), (taken, target)
+        kept = mixing.mixed_documents(docs, seed=seed).groupBy("doc_id").count().collect()
+        size = {r.doc_id: r.size for r in found}
+        assert sum(size[r.doc_id] * r["count"] for r in kept) == sum(taken.values())
+
+
 def test_flow_shares_overlapping_sources():
     assert mixing.route([(("a", "b"), 10), (("a",), 10)], {"a": 10.0, "b": 10.0}) == [10, 10]
     assert mixing.targets([("a", 1), ("b", 100), (None, 10)], 111)["a"] == 3.0
