@@ -58,13 +58,15 @@ _GLYPHS = {c: p for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)
 #: Neither ASCII nor one of the usual letters with accents: only such characters can be in _GLYPHS.
 _UNUSUAL = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u017e]")
 _D = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_PAIR = re.compile(rf"{_D}[ ,.-]+(?:dot[ ]+)?{_D}")
 _SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ ,-]+)?(?:{_D}|[0-9]+)(?:[ ,.-]+(?:dot[ ]+|point[ ]+)?(?:{_D}|[0-9]+)){{3,}}(?![a-z0-9])")
 _SPELLED_PART = re.compile(rf"plus|dot|point|{_D}|[0-9]+|[ ,.-]+")
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|(?<=[a-z0-9])\s+(?:at|arroba|arobase)\s+(?=[a-z0-9])", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|(?<=[a-z0-9])\s+(?:dot|punkt|punto)\s+(?=[a-z0-9])", re.I)
-#: One of these is in every text with a disguised "at" or "dot".
-_HINTS = ("dot", "punkt", "punto", "point", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "{@", "[ @", "( @", "[.", "(.", "{.", "arroba", "arobase")
+# A run of blanks is tried from its first one only.
+_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(?:at|@|arroba|arobase)\s*[\])}>]\s*|(?<=[a-z0-9])\s+(?:at|arroba|arobase)\s+(?=[a-z0-9])", re.I)
+_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|(?<=[a-z0-9])\s+(?:dot|punkt|punto)\s+(?=[a-z0-9])", re.I)
+#: One of these is in every stretch that stands for "at" or "dot" and counts as a disguise: a bare "at" does not.
+_HINTS = ("[", "(", "{", "<", "dot", "punkt", "punto")
+#: One of these is in every run of spelled digits that counts: digits and gaps alone do not.
+_WORDS = (*DIGIT_WORDS, "plus", "dot", "point")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -205,12 +207,12 @@ def disguised_spans(text: str) -> list[tuple[int, int, str]]:
             if done:
                 out.append((first, last, kind))
     low = base.lower()
-    if len(low) != len(base):
-        low = base
+    if len(low) != len(base):  # places must stay: letters whose lower case is longer are kept
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in base)
     makers = []
     if any(hint in low for hint in _HINTS):
         makers.append((_word_edits, base))
-    if _PAIR.search(low):
+    if any(word in low for word in _WORDS):
         makers.append((_spelled_edits, low))
     for edits, source in makers:
         if found := edits(source):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -171,6 +172,44 @@ def test_disguises_map_back(text, part, kind):
     assert [(text[a:b], k) for a, b, k in pii.all_spans(text)[1]] == [(part, kind)]
 
 
+def undone(text, part, kind):
+    return (part, kind) in [(text[a:b], k) for a, b, k in pii.all_spans(text)[1]]
+
+
+@pytest.mark.parametrize("brackets", ["[]", "()", "{}", "<>"])
+@pytest.mark.parametrize("blank", ["", " ", "  ", "\t", "\n", " \r\n"])
+def test_every_bracket_form_is_undone(brackets, blank):
+    a, b = (brackets[0] + blank, blank + brackets[1])
+    for word in ("at", "AT", "@", "arroba", "Arobase"):
+        part = f"jane{a}{word}{b}example.com"
+        assert undone(f"mail {part} now", part, "email"), part
+    for word in ("dot", "DOT", ".", "punkt", "Punto", "point"):
+        part = f"jane@example{a}{word}{b}com"
+        assert undone(f"mail {part} now", part, "email"), part
+        part = f"8{a}{word}{b}8{a}{word}{b}4{a}{word}{b}4"
+        assert undone(f"ip {part} now", part, "ip"), part
+
+
+@pytest.mark.parametrize("gap", [" ", ", ", ".", "-", " - "])
+@pytest.mark.parametrize("plus", ["plus ", "Plus, ", "+"])
+def test_digits_and_words_may_alternate(gap, plus):
+    part = plus + gap.join("1 four 1 five 5 five 0 one 0 zero".split())
+    assert undone(f"call {part} please", part, "phone")
+
+
+@pytest.mark.parametrize("odd", ["", "\u0130 "])
+def test_spelled_addresses_are_undone(odd):
+    for part in ("eight point eight point four point four", "Eight Dot 8 DOT four Point 4", "one zero.zero.zero.one"):
+        assert undone(f"{odd}ip {part} end", part, "ip"), part
+
+
+def test_disguises_are_found_in_linear_time():
+    for text in (" " * 300_000 + "[", "a[" + "\t" * 300_000, "( " * 100_000, "one " + " " * 300_000, "1 " * 150_000 + "one", "dot " * 80_000):
+        began = time.perf_counter()
+        pii.all_spans(text)
+        assert time.perf_counter() - began < 5
+
+
 @pytest.mark.parametrize("text", ["meet at example.com or look at this. Thing", "one or two at home", "dot by dot"])
 def test_plain_prose_has_no_disguise(text):
     assert pii.all_spans(text)[1] == []
