@@ -84,12 +84,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(window: int, bits, frequent, buckets: int):
-    """Windows around repeated anchors: (bucket, seeds, windows, docs, places), frequent anchors dealt by document."""
+    """Windows around repeated anchors: (bucket, seeds, windows, docs, rows, places), frequent anchors dealt by row."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled, common = bits.value, frequent.value
         for batch in batches:
-            ids, texts = _keys(batch.column(0)), text_bytes(batch.column(1))
+            ids, marks, texts = _keys(batch.column(0)), batch.column(1).to_numpy(), text_bytes(batch.column(2))
             for a, b in chunks(texts):
                 chunk = Chunk(texts[a:b], window)
                 places, hashes = chunk.anchors(window)
@@ -98,48 +98,50 @@ def _extended(window: int, bits, frequent, buckets: int):
                 at, own = chunk.at[keep], own[keep]
                 doc = chunk.doc[at]
                 spread = np.isin(own, common)
-                deal = (own >> np.uint64(40)) + np.where(spread, mixed(ids[a:b][doc].view(np.uint64), 3) % np.uint64(SPREAD), 0).astype(np.uint64)
-                columns = [own, chunk.windows[at], ids[a:b][doc], (at - chunk.starts[doc]).astype(np.int32)]
-                yield by_bucket(deal.astype(np.int64) % buckets, columns, ["seeds", "windows", "docs", "places"])
+                deal = (own >> np.uint64(40)) + np.where(spread, mixed((ids ^ marks)[a:b][doc].view(np.uint64), 3) % np.uint64(SPREAD), 0).astype(np.uint64)
+                columns = [own, chunk.windows[at], ids[a:b][doc], marks[a:b][doc], (at - chunk.starts[doc]).astype(np.int32)]
+                yield by_bucket(deal.astype(np.int64) % buckets, columns, ["seeds", "windows", "docs", "rows", "places"])
 
     return extend
 
 
 def _compared(frequent):
-    """(doc, places, seed, window): windows met before in a smaller document; or, with a window, firsts of frequent anchors."""
+    """(doc, row, places, seed, window, place): windows met before in a smaller document; or, with a window, firsts of frequent anchors."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[list[bytes]]] = {}
         for batch in batches:
             for bucket, *blobs in zip(*batch.to_pydict().values(), strict=True):
-                for held, blob in zip(parts.setdefault(bucket, [[], [], [], []]), blobs, strict=True):
+                for held, blob in zip(parts.setdefault(bucket, [[], [], [], [], []]), blobs, strict=True):
                     held.append(blob)
         for bucket in list(parts):
-            seeds, windows, docs, places = (np.frombuffer(b"".join(x), t) for x, t in zip(parts.pop(bucket), (np.uint64, np.uint64, np.int64, np.int32), strict=True))
+            kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
+            seeds, windows, docs, rows, places = (np.frombuffer(b"".join(x), t) for x, t in zip(parts.pop(bucket), kinds, strict=True))
             order = np.lexsort((docs, seeds, windows))
-            seeds, windows, docs, places = seeds[order], windows[order], docs[order], places[order]
+            seeds, windows, docs, rows, places = seeds[order], windows[order], docs[order], rows[order], places[order]
             new = np.r_[True, (windows[1:] != windows[:-1]) | (seeds[1:] != seeds[:-1])][: len(seeds)]
             first = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(seeds) else docs
             later = docs > first
-            yield _ranges(docs[later], places[later])
+            yield _ranges(docs[later], rows[later], places[later])
             if len(common := frequent.value) and (firsts := ~later & np.isin(seeds, common)).any():
-                columns = [docs[firsts], None, signed(seeds[firsts]), signed(windows[firsts]), places[firsts]]
+                columns = [signed(seeds[firsts]), signed(windows[firsts]), places[firsts]]
                 none = pa.nulls(int(firsts.sum()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), none, *map(pa.array, columns[2:])], ["doc", "places", "seed", "window", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[firsts]), pa.array(rows[firsts]), none, *map(pa.array, columns)], ["doc", "row", "places", "seed", "window", "place"])
 
     return compare
 
 
-def _ranges(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A row for each document, its window starts as bytes."""
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]][: len(docs)])
+def _ranges(docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """A line for each row of a document, its window starts as bytes."""
+    order = np.lexsort((places, rows, docs))
+    docs, rows, places = docs[order], rows[order], places[order]
+    starts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])][: len(docs)])
     ends = np.r_[starts[1:], len(docs)][: len(starts)]
     blobs = [places[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
     n = len(starts)
     return pa.RecordBatch.from_arrays(
-        [pa.array(docs[starts]), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], ["doc", "places", "seed", "window", "place"]
+        [pa.array(docs[starts]), pa.array(rows[starts]), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+        ["doc", "row", "places", "seed", "window", "place"],
     )
 
 
@@ -186,7 +188,8 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     A word goes if a window of ``window`` words over it also starts earlier: in a smaller
     doc_id, or before it in the same row. A null id comes after all others; rows with the same
     id count as one place, so neither is earlier than the other (repeated rows stay alike).
-    Null, empty and short texts keep all words. doc_id must be a whole number; further
+    Rows are told apart by id and a 64-bit hash of the text, so what is found in one is
+    taken from rows alike only. Null, empty and short texts keep all words. doc_id must be a whole number; further
     columns are not read.
 
     Windows are compared by 128 bits of hashes. Tasks hold one bucket of anchors at a
@@ -197,6 +200,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _binary(F.col(text_col)).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
     buckets = max(partitions(spark), rows.rdd.getNumPartitions()) * 2
     seeds = arrow_map(rows.select("text"), _seed_rows(buckets, window), "bucket int, seeds binary")
     repeated = written(seeds.repartition(partitions(spark), "bucket").mapInArrow(_repeated, "seed long, n long"))
@@ -204,19 +208,19 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     filled = sc.broadcast(bitmap_bytes(repeated.select(F.pmod("seed", F.lit(bits)).alias("slot")), bits))
     most = repeated.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "seed").limit(1_000_000).select("seed").collect()
     frequent = sc.broadcast(np.array([r.seed for r in most], np.int64).view(np.uint64))
-    around = arrow_map(rows, _extended(window, filled, frequent, buckets), "bucket int, seeds binary, windows binary, docs binary, places binary")
-    met = written(around.repartition(partitions(spark), "bucket").mapInArrow(_compared(frequent), "doc long, places binary, seed long, window long, place int"))
+    around = arrow_map(rows, _extended(window, filled, frequent, buckets), "bucket int, seeds binary, windows binary, docs binary, rows binary, places binary")
+    met = written(around.repartition(partitions(spark), "bucket").mapInArrow(_compared(frequent), "doc long, row long, places binary, seed long, window long, place int"))
     own = Window.partitionBy("seed", "window")
-    firsts = met.filter("seed is not null").withColumn("least", F.min("doc").over(own)).filter("doc > least").select("doc", "place")
-    late = firsts.mapInArrow(_as_ranges, "doc long, places binary")
-    found = met.filter("places is not null").select("doc", "places").unionByName(late)
-    per_doc = found.groupBy("doc").agg(F.collect_list("places").alias("found"))
-    joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(per_doc.hint("merge"), "doc", "left").select("doc_id", "text", "found")
+    firsts = met.filter("seed is not null").withColumn("least", F.min("doc").over(own)).filter("doc > least").select("doc", "row", "place")
+    late = firsts.mapInArrow(_as_ranges, "doc long, row long, places binary")
+    found = met.filter("places is not null").select("doc", "row", "places").unionByName(late)
+    per_row = found.groupBy("doc", "row").agg(F.collect_list("places").alias("found"))
+    joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(per_row.hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "found")
     out = arrow_map(joined, _cleaned(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out.drop("kept")
 
 
 def _as_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = _ranges(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["doc", "places"])
+        rows = _ranges(*[c.to_numpy() for c in batch.columns])
+        yield pa.RecordBatch.from_arrays(rows.columns[:3], ["doc", "row", "places"])

@@ -282,6 +282,22 @@ def test_repeated_passages(spark, texts, edges, monkeypatch, frequent):
     assert substring.without_repeats(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [512, 1])
+def test_repeats_stay_within_their_row(spark, monkeypatch, frequent):
+    monkeypatch.setattr(substring, "FREQUENT", frequent)
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared, own = new(40), new(30)
+    rows = [(1, shared), (None, new(100) + shared), (None, new(200)), (None, new(22)), (None, own), (None, own)]
+    rows += [(7, new(60) + shared + new(9)), (7, new(150)), (7, new(21)), (8, new(25) + own)]
+    expect = sorted((-1 if i is None else i, len(w), 40 * (len(w) in (140, 109)) + 30 * (w is own)) for i, w in rows)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1)
+    found = substring.without_repeats(table, with_text=True).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in found) == expect
+    kept = {(i, " ".join(x for x in w if x not in shared or i == 1)) for i, w in rows if w is not own}
+    assert kept <= {(r.doc_id, r.kept) for r in found}
+
+
 @pytest.mark.parametrize("split", [1 << 22, 2000])
 def test_archives_round_trip(spark, split):
     pages = [(1, None, None), (None, "u\r\nx", "y" * 200), (2, "é", "y" * 200), (2, "é", "y" * 200), (3, "q", "z" * 99), (4, "q", "z" * 99)]
