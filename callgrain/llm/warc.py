@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from callgrain.llm._shared import arrow_map, attach_groups, shared_folder, written
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes read and inflated at once, and the most that a header may take.
-READ, HEADER = 1 << 20, 1 << 16
+_VERSION = b"WARC/1."
+#: Bytes read and inflated at once.
+READ = 1 << 20
 #: Payloads under this many bytes are never revisits.
 LEAST = 100
 
@@ -102,7 +103,7 @@ class _Source:
 
 def _member(source: _Source) -> tuple[bytes, int] | None:
     """The member at the start of ``source`` and its length, or None if no WARC record starts there."""
-    pull, parts, size, at = zlib.decompressobj(31), [], 0, 0
+    pull, parts, head, at = zlib.decompressobj(31), [], b"", 0
     while not pull.eof:
         if at >= len(source.held) and not source.fill():
             return None
@@ -112,12 +113,12 @@ def _member(source: _Source) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         at += len(piece)
-        size += len(parts[-1])
-        if len(parts) < 3 or size < HEADER:
-            head = b"".join(parts)[:HEADER]
-            if not head.startswith(b"WARC/1."[: len(head)]) or (len(head) >= HEADER and b"\r\n\r\n" not in head):
+        if len(head) < len(_VERSION):
+            head = (head + parts[-1])[: len(_VERSION)]
+            if not _VERSION.startswith(head):
                 return None
-    return b"".join(parts), at - len(pull.unused_data)
+    data = b"".join(parts)  # a header may have any length
+    return (data, at - len(pull.unused_data)) if head == _VERSION and b"\r\n\r\n" in data else None
 
 
 def _records(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:

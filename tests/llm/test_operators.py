@@ -313,6 +313,21 @@ def test_archives_round_trip(spark, split):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [1 << 22, 5000])
+def test_headers_may_have_any_length(spark, split):
+    rng = random.Random(6)
+    urls = ["u" * 65_500, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(8000)), "".join(chr(rng.randrange(33, 127)) for _ in range(3_000_000)), None]
+    rows = [(10 * i + n, url, body) for i, url in enumerate(urls) for n, body in enumerate(("", "y" * 200, f"{i} WARC/1.1\r\n\r\n"))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.write_archives(table)
+    found = {r.page_id: r for r in warc.read_archives(spark, archives, split=split, keep_payload=True).collect()}
+    assert sorted(found) == sorted(i for i, _, _ in rows)
+    for i, _, body in rows:
+        again = i % 10 == 1 and i > 1
+        assert (found[i].record_type, found[i].refers_to) == (("revisit", 1) if again else ("response", None))
+        assert found[i].payload_digest == hashlib.sha256(body.encode()).hexdigest() and (again or bytes(found[i].payload) == body.encode())
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows.items():
