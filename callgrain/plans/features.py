@@ -12,8 +12,10 @@ from callgrain.sources import tables as src
 
 @query()
 def q_features(spark, sf_dir):
-    calls = src.signal(spark, sf_dir).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x / 500).alias("samples"))
-    return cx.features(win.array_windows(calls, 512, 256))
+    """Windows of two seconds: each value of the stand-in signal lasts 512 samples, so that one has many frames."""
+    calls = src.signal(spark, sf_dir).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x / 500).alias("values"))
+    calls = calls.select("call_id", F.flatten(F.transform("values", lambda x: F.array_repeat(x, 512))).alias("samples"))
+    return cx.features(win.array_windows(calls, 32000, 16000))
 
 
 @query()
