@@ -100,9 +100,10 @@ class Labeller(dict):
         """The language of each word: the best path, a switch costing the penalty."""
         cost = self.model.penalty
         best = int(scores.sum(0).argmax())
-        gains = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-        if (gains - np.minimum(np.minimum.accumulate(gains, axis=0), 0)).max() <= cost:
-            return np.full(len(scores), best)  # no stretch is so much better elsewhere that a switch pays
+        # a stretch spent in other languages gains at most the sum of each word's best of them, and pays for a switch at least
+        gains = np.cumsum(np.delete(scores, best, 1).max(1, initial=-np.inf) - scores[:, best]) if scores.shape[1] > 1 else np.zeros(len(scores))
+        if (gains - np.minimum(np.minimum.accumulate(np.r_[0.0, gains[:-1]]), 0)).max() <= cost:
+            return np.full(len(scores), best)
         total, back = list(scores[0]), []
         for row in scores[1:].tolist():
             top = max(total)

@@ -1,6 +1,7 @@
 """The corpus operators on small tables, against plain Python."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -138,6 +139,22 @@ def test_mixed_text_has_spans(spark):
     assert abs(row.spans[1].start - len(one["en"])) < 60
 
 
+def test_path_is_the_best_of_all_paths():
+    def worth(scores, path):
+        return sum(s[i] for s, i in zip(scores, path, strict=True)) - 10 * sum(a != b for a, b in zip(path, path[1:], strict=False))
+
+    def labeller(n):
+        return language.Labeller(language.Model([str(i) for i in range(n)], np.zeros(1, np.uint64), np.zeros((1, n)), np.zeros(n), np.zeros((1, n), bool), 0))
+
+    stretches = np.array([[0.0, -20, -2]] * 4 + [[-20, 0.0, -2]] * 4)
+    assert labeller(3).path(stretches).tolist() == [0] * 4 + [1] * 4
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        scores = -rng.integers(0, 13, (6, 3)).astype(float)
+        best = max(worth(scores, p) for p in itertools.product(range(3), repeat=6))
+        assert worth(scores, labeller(3).path(scores).tolist()) == best
+
+
 def brute_spans(t):
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) < 256 for x in m[0].split("."))]
