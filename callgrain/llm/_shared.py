@@ -8,6 +8,7 @@ work on one bounded chunk of texts at a time.
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,8 +18,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts can be long, so the default of 10,000 is too many.
-ARROW_ROWS = 512
+#: Rows and bytes in an Arrow batch. Texts can be long, so the default of 10,000 rows is too many.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+#: Bytes that one memo of a worker takes, and the letters of the longest text it remembers.
+MEMO_BYTES, MEMO_LETTERS = 32 << 20, 64
 #: Bytes of text that the numpy helpers take at once.
 CHUNK_BYTES = 4 << 20
 #: One bitmap of ``bitmap_construct_agg`` has 4 KB.
@@ -61,10 +64,34 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small, unless the session already has them smaller."""
+    """Keeps Arrow batches of texts small, unless the session already has them smaller.
+
+    The session keeps these two settings, since plans read them when they run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+class Memo(dict):
+    """What a worker remembers of short texts between tasks: MEMO_BYTES at most by estimate, then it starts anew."""
+
+    def __init__(self, most: int = MEMO_BYTES) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, text: str, value: object) -> None:
+        if len(text) > MEMO_LETTERS:
+            return
+        size = 100 + sys.getsizeof(text) + sys.getsizeof(value)
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[text] = value
 
 
 def partitions(spark: SparkSession) -> int:
@@ -213,6 +240,26 @@ def binary_rows(parts: dict[int, list[np.ndarray]], names: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, ["bucket", *names])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[np.ndarray]]:
+    """Each bucket's arrays, put together. Rows come sorted by bucket, so one bucket is held at a time."""
+    at, parts = None, [[] for _ in kinds]
+    for batch in batches:
+        for bucket, *blobs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if bucket != at and parts[0]:
+                yield [np.frombuffer(b"".join(x), t) for x, t in zip(parts, kinds, strict=True)]
+                parts = [[] for _ in kinds]
+            at = bucket
+            for held, blob in zip(parts, blobs, strict=True):
+                held.append(blob)
+    if parts[0]:
+        yield [np.frombuffer(b"".join(x), t) for x, t in zip(parts, kinds, strict=True)]
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with equal keys in one task, one key after the other."""
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
 def by_bucket(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """The columns cut up by bucket: few rows of many values, so that Spark moves arrays."""
     order = np.argsort(bucket, kind="stable")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map, attach_groups, bitmap_bytes, by_bucket, chunks, filter_bits, in_bitmap, mixed, partitions, runs, signed, text_bytes, word_hashes, written
+from callgrain.llm._shared import HEAVY_GROUPS, arrow_map, attach_groups, bitmap_bytes, by_bucket, chunks, dealt, filter_bits, gathered, in_bitmap, mixed, partitions, runs, signed, text_bytes, word_hashes, written
 from callgrain.llm.graph import components
 
 #: Seeds of the token orders.
@@ -30,6 +30,8 @@ ORDERS = (11, 12, 13)
 OFTEN, LOCAL, MOST = 4, 1 << 20, 250_000
 #: Sets compared with one set in a task.
 FAN = 256
+#: Pairs of a group's members looked at in a task.
+LOOKS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -148,17 +150,6 @@ def _prefixes(words: int, threshold: int, frequent, buckets: int):
     return prefixes
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[np.ndarray]]:
-    """Each bucket's arrays, put together."""
-    parts: dict[int, list[list[bytes]]] = {}
-    for batch in batches:
-        for bucket, *blobs in zip(*batch.to_pydict().values(), strict=True):
-            for held, blob in zip(parts.setdefault(bucket, [[] for _ in kinds]), blobs, strict=True):
-                held.append(blob)
-    for bucket in list(parts):
-        yield [np.frombuffer(b"".join(x), t) for x, t in zip(parts.pop(bucket), kinds, strict=True)]
-
-
 def _fits(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, threshold: int) -> np.ndarray:
     """Sizes and the places of the first shared token allow a link: at most what follows it is shared."""
     least, most = np.minimum(n1, n2), np.maximum(n1, n2)
@@ -170,7 +161,7 @@ def _stars(threshold: int):
     """(a, b): members with their group's first; and as (group, a, n, place) the groups of three or more."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, classes, sizes, places in _gathered(batches, (np.uint64, np.uint64, np.int32, np.int32)):
+        for tokens, classes, sizes, places in gathered(batches, (np.uint64, np.uint64, np.int32, np.int32)):
             order = np.lexsort((classes, places, tokens))
             tokens, classes, sizes, places = tokens[order], classes[order], sizes[order], places[order]
             once = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])][: len(tokens)]
@@ -201,7 +192,7 @@ def _stars(threshold: int):
 
 
 def _across(threshold: int):
-    """(a, b): members of a group that are in different components and may link. Rows come sorted by group."""
+    """(a, b): members of a group that are in different components and may link. Rows come sorted by group and task."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -209,11 +200,10 @@ def _across(threshold: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            groups = batch.column(0).to_numpy()
-            if groups[0] != groups[-1] or held[0].column(0)[0].as_py() != groups[0]:
-                last = groups[-1]
+            if _group_at(batch, 0) != _group_at(batch, -1) or _group_at(held[0], 0) != _group_at(batch, 0):
                 table = pa.Table.from_batches(held)
-                cut = int(np.flatnonzero(table.column(0).to_numpy() == last)[0])
+                group, task = table.column(0).to_numpy(), table.column(1).to_numpy()
+                cut = int(np.flatnonzero((group == group[-1]) & (task == task[-1]))[0])
                 yield from _cross(table.slice(0, cut), threshold)
                 held = table.slice(cut).to_batches()
         if held:
@@ -222,27 +212,29 @@ def _across(threshold: int):
     return across
 
 
+def _group_at(batch: pa.RecordBatch, i: int) -> tuple:
+    return batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
+
 def _cross(table: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
-    group, a, n, place, label = (table.column(i).to_numpy() for i in range(5))
-    sketches = [np.frombuffer(x, np.uint64) for x in table.column(5).to_pylist()]
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    group, task, a, n, place, label, is_end = (table.column(i).to_numpy() for i in range(7))
+    starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (task[1:] != task[:-1])][: len(group)])
     for s, e in zip(starts, np.r_[starts[1:], len(group)][: len(starts)], strict=True):
-        own = label[s:e]
-        labels, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-        if len(labels) < 2:
+        ends = s + np.flatnonzero(is_end[s:e])
+        if not len(ends):
             continue
-        width = np.array([len(x) for x in sketches[s:e]])
+        own, sketches = label[s:e], [np.frombuffer(x, np.uint64) for x in table.column(7).slice(s, e - s).to_pylist()]
+        width = np.array([len(x) for x in sketches])
         row, by_width = np.zeros(e - s, np.int64), {}
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
-            row[at], by_width[int(w)] = np.arange(len(at)), np.stack([sketches[s + j] for j in at])
-        # every pair across labels has an end outside one of the largest label's members
-        for i in s + np.flatnonzero(inverse != counts.argmax()):
+            row[at], by_width[int(w)] = np.arange(len(at)), np.stack([sketches[j] for j in at])
+        for i in ends:
             other = np.flatnonzero((own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold))
             near = [other[:0]]
             for w in np.unique(width[other]):
                 at = other[width[other] == w]
-                near.append(at[_may_link(sketches[i], n[i], by_width[int(w)][row[at]], n[s + at], threshold)])
+                near.append(at[_may_link(sketches[i - s], n[i], by_width[int(w)][row[at]], n[s + at], threshold)])
             other = s + np.concatenate(near)
             if len(other):
                 b = a[other]
@@ -298,15 +290,28 @@ def _sets_link(threshold: int, frequent):
 
 
 def _where(pairs: DataFrame, sets: DataFrame, compare) -> DataFrame:
-    """The pairs that ``compare`` finds. Each set goes once to each hub it is compared with; a hub with many has several tasks."""
-    spark = pairs.sparkSession
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
+    """The pairs that ``compare`` finds. Each set goes once to each hub it is compared with.
+
+    A hub with many sets has several tasks, and a set with many hubs is handed out by
+    several: of both, the counts are known before anything moves.
+    """
+    total = max(1, pairs.count())
+    fans = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("fans", F.ceil(F.col("n") / FAN).cast("int"))
     hubs = fans.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(True).alias("is_hub"), F.col("a").alias("class"))
-    spokes = attach_groups(pairs.withColumnRenamed("a", "hub"), fans.select(F.col("a").alias("hub"), "fans", (F.col("fans") * FAN).alias("most")), "hub", "most", max(1, pairs.count()))
+    spokes = attach_groups(pairs.withColumnRenamed("a", "hub"), fans.select(F.col("a").alias("hub"), "fans", "n"), "hub", "n", total)
     spokes = spokes.select("hub", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("salt"), F.lit(False).alias("is_hub"), F.col("b").alias("class"))
-    met = hubs.unionByName(spokes).join(sets.hint("merge"), "class").select("hub", "salt", "is_hub", "class", "n", "tokens")
-    dealt = met.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
-    return written(arrow_map(dealt, compare, "a long, b long"))
+    asked = written(hubs.unionByName(spokes))
+    often = asked.groupBy("class").agg(F.count("*").alias("times")).withColumn("shares", F.ceil(F.col("times") / FAN).cast("int"))
+    often = written(often.filter("shares > 1"))
+    few = often.count() <= HEAVY_GROUPS
+    wanted = asked.join(F.broadcast(often), "class", "left") if few else attach_groups(asked, often, "class", "times", 2 * total)
+    handed = sets.join(F.broadcast(often) if few else often.hint("merge"), "class", "left")
+    wanted = wanted.withColumn("share", F.pmod(F.xxhash64("hub", "salt"), F.coalesce("shares", F.lit(1))).cast("int"))
+    handed = handed.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    met = wanted.select("hub", "salt", "is_hub", "class", "share").join(handed.select("class", "share", "n", "tokens").hint("merge"), ["class", "share"])
+    met = met.select("hub", "salt", "is_hub", "class", "n", "tokens")
+    met = met.repartition(partitions(pairs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
+    return written(arrow_map(met, compare, "a long, b long"))
 
 
 def _sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, cut) -> DataFrame:
@@ -356,8 +361,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     filled = summed.filter("token is null and n > 0").groupBy("class")
     classes = written(filled.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(partitions(spark), (tokens or 0) * (100 - threshold) // 100 // 400_000)
-    dealt = arrow_map(rows.select("text"), _prefixes(words, threshold, frequent, buckets), "bucket int, tokens binary, classes binary, sizes binary, places binary")
-    met = written(dealt.repartition(partitions(spark), "bucket").mapInArrow(_stars(threshold), "a long, b long, group long, n long, place long"))
+    firsts = arrow_map(rows.select("text"), _prefixes(words, threshold, frequent, buckets), "bucket int, tokens binary, classes binary, sizes binary, places binary")
+    met = written(dealt(firsts, "bucket").mapInArrow(_stars(threshold), "a long, b long, group long, n long, place long"))
     pairs = met.filter("group is null").select("a", "b").distinct()
     # groups of the same members come from several buckets
     groups = met.filter("group is not null").groupBy("group", "a").agg(F.first("n").alias("n"), F.min("place").alias("place"))
@@ -373,14 +378,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
 
     links = linked(_where(written(pairs), sketches, _sketches_near(threshold)))
     labels = components(links)
-    labelled = groups.join(labels.withColumnRenamed("id", "a"), "a", "left").select("group", "a", "n", "place", F.coalesce("component", "a").alias("label"))
-    mixed_groups = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("group")
-    open_groups = labelled.join(mixed_groups, "group", "left_semi").join(classes.select(F.col("class").alias("a"), "sketch"), "a").select("group", "a", "n", "place", "label", "sketch")
-    across = open_groups.repartition(partitions(spark), "group").sortWithinPartitions("group", "a").mapInArrow(_across(threshold), "a long, b long")
+    labelled = written(groups.join(labels.withColumnRenamed("id", "a"), "a", "left").select("group", "a", "n", "place", F.coalesce("component", "a").alias("label")))
+    # every pair across labels has an end outside one of the largest label's members; these ends are dealt out
+    counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    mixed_groups = written(counts.filter("members > most").withColumn("tasks", F.ceil(F.col("members") * (F.col("members") - F.col("most")) / LOOKS).cast("int")).drop("most"))
+    open_groups = attach_groups(labelled, mixed_groups, "group", "members", labelled.count()).filter("main is not null")
+    ends = open_groups.withColumn("own", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("a"), F.col("tasks"))).otherwise(-1).cast("int"))
+    ends = ends.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumn("is_end", F.col("own") == F.col("task"))
+    ends = ends.join(classes.select(F.col("class").alias("a"), "sketch"), "a").select("group", "task", "a", "n", "place", "label", "is_end", "sketch")
+    across = dealt(ends, "group", "task").mapInArrow(_across(threshold), "a long, b long")
     labels = components(links.unionByName(linked(across))).withColumnRenamed("id", "class")
     known = classes.select("class", "least", "copies").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(known.join(least, "component").select("class", "component_id", "copies"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
+    named = written(attach_groups(known, least, "component", "sets", total).select("class", "component_id", "copies"))
     out = attach_groups(digests, named, "class", "copies", total)
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

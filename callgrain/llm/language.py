@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map, chunks
+from callgrain.llm._shared import MEMO_BYTES, arrow_map, chunks, mixed
 
 UNDETERMINED = "und"
 #: First code points of the ranges, and their scripts.
@@ -24,8 +24,10 @@ SCRIPT_STARTS = [0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0x980, 0xE00, 0x
 SCRIPTS = ["Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Indic", "Thai", "Georgian", "Hangul", "Latin", "Greek", "Latin", "Han", "Kana", "Han", "Han", "Yi", "Latin", "Other", "Hangul", "Other", "Han", "Other", "Han"]
 #: A script belongs to a language if it has this share of its letters.
 SCRIPT_SHARE = 0.01
-#: Words a worker remembers before it starts anew.
-MEMO = 200_000
+#: Trigrams are known by hashes of so many bits: the model is this table, and no trigram is left out of it.
+SLOT_BITS = 18
+#: Letters scored together.
+LETTERS = 1 << 16
 
 
 _LETTER = np.zeros(0x110000, bool)
@@ -38,7 +40,7 @@ _SCRIPT_OF_RANGE = np.array([_NAMES.index(s) for s in SCRIPTS])
 
 
 def letter_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each letter of the words (no white space in them): its word, the code of the trigram around it, its script.
+    """For each letter of the words (no white space in them): its word, the slot of the trigram around it, its script.
 
     Lower case; what isn't a letter is left out; a blank stands before and after each word.
     """
@@ -50,17 +52,15 @@ def letter_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(points != 32)
     codes = points[at - 1] << np.uint64(42) | points[at] << np.uint64(21) | points[at + 1]
     scripts = _SCRIPT_OF_RANGE[np.searchsorted(_STARTS, points[at].astype(np.int64), "right") - 1]
-    return word[at], codes, scripts
+    return word[at], (mixed(codes, 3) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), scripts
 
 
 @dataclass
 class Model:
-    """languages in code point order; trigram codes, sorted, and their log probabilities, a column for each language."""
+    """languages in code point order; log probabilities by trigram slot, a column for each language."""
 
     languages: list[str]
-    codes: np.ndarray
     scores: np.ndarray
-    unseen: np.ndarray
     fits: np.ndarray  # by script and language
     common: int
     penalty: float = 10.0
@@ -76,15 +76,19 @@ class Labeller(dict):
     def forget(self) -> None:
         self.clear()
         self.rows, self.sizes, self.known = np.zeros((0, self.n)), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.held = 0
 
     def meet(self, words: list[str]) -> None:
         """Rows of new words: sums over their letters' trigrams, 0 for the best of the languages that their scripts allow."""
         model, k = self.model, len(words)
-        word, codes, scripts = letter_grams(words)
+        word, slots, scripts = letter_grams(words)
         sizes = np.bincount(word, minlength=k)
-        at = np.minimum(np.searchsorted(model.codes, codes), len(model.codes) - 1)
-        values = np.where((model.codes[at] == codes)[:, None], model.scores[at], model.unseen)
-        rows = np.stack([np.bincount(word, values[:, i], k).astype(float) for i in range(self.n)], axis=1)
+        rows = np.zeros((k, self.n))
+        for a in range(0, len(word), LETTERS):
+            own, values = word[a : a + LETTERS], model.scores[slots[a : a + LETTERS]]
+            low, high = own[0], own[-1] + 1
+            for i in range(self.n):
+                rows[low:high, i] += np.bincount(own - low, values[:, i], high - low)
         first = np.searchsorted(word, np.arange(k))
         own = np.zeros((k, self.n), bool)
         own[sizes > 0] = model.fits[scripts[first[sizes > 0]]]
@@ -94,6 +98,7 @@ class Labeller(dict):
         rows = np.where(own, rows, np.minimum(rows, 0) - 20.0)
         rows[~known] = 0
         self.update(zip(words, range(len(self), len(self) + k), strict=True))
+        self.held += k * (160 + 8 * self.n) + 2 * sum(map(len, words))
         self.rows, self.sizes, self.known = np.concatenate([self.rows, rows]), np.concatenate([self.sizes, sizes]), np.concatenate([self.known, known])
 
     def path(self, scores: np.ndarray) -> np.ndarray:
@@ -122,7 +127,7 @@ class Labeller(dict):
         """For each text (language, share of the letters in it, spans, [(first word, last word + 1, language)])."""
         out = []
         for start, end in chunks([t or "" for t in texts]):
-            if len(self) > MEMO:
+            if self.held > MEMO_BYTES:
                 self.forget()
             split = [t.split() if t else [] for t in texts[start:end]]
             if self.n and (new := list(set().union(*split).difference(self))):
@@ -154,18 +159,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def learn(labelled: DataFrame, per_language: int = 2000, most_grams: int = 200_000, penalty: float = 10.0) -> Model:
+def learn(labelled: DataFrame, per_language: int = 2000, penalty: float = 10.0) -> Model:
     """A model from (id, text, lang); rows without text or lang are left out.
 
     Of each language, ``per_language`` rows are expected in the sample, drawn by a hash
-    of the id: all rows of a language that has fewer. The tasks count trigrams; of
-    these, the ``most_grams`` most frequent (language, trigram) reach the driver.
+    of the id: all rows of a language that has fewer. The tasks count trigrams by slot; a
+    number for each language and slot that occurs, 2 ** SLOT_BITS a language at most, reaches the driver.
     """
     labelled = labelled.filter("text is not null and lang is not null")
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros(1, np.uint64), np.zeros((1, 0)), np.zeros(0), np.zeros((len(_NAMES), 0), bool), 0, penalty)
+        return Model([], np.zeros((1 << SLOT_BITS, 0)), np.zeros((len(_NAMES), 0), bool), 0, penalty)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))])
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
 
@@ -183,19 +188,15 @@ def learn(labelled: DataFrame, per_language: int = 2000, most_grams: int = 200_0
                         yield pa.RecordBatch.from_arrays(columns, ["lang", "is_gram", "code", "n"])
 
     made = arrow_map(labelled.filter(drawn).select("text", "lang"), count, "lang string, is_gram boolean, code long, n long")
-    rows = made.groupBy("lang", "is_gram", "code").agg(F.sum("n").alias("n")).orderBy("is_gram", F.desc("n"), "lang", "code").limit(most_grams).collect()
-    column = {x: i for i, x in enumerate(languages)}
-    codes = np.array(sorted({r.code for r in rows if r.is_gram}) or [0], np.uint64)
-    table, by_script = np.zeros((len(codes), len(languages))), np.zeros((len(_NAMES), len(languages)))
-    for r in rows:
-        if r.is_gram:
-            table[np.searchsorted(codes, np.uint64(r.code)), column[r.lang]] = r.n
-        else:
-            by_script[r.code, column[r.lang]] += r.n
-    totals = table.sum(0) + 0.5 * (len(codes) + 1)
+    rows = made.groupBy("lang", "is_gram", "code").agg(F.sum("n").alias("n")).toPandas()
+    at, grams = rows.lang.map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64), rows.is_gram.to_numpy(bool)
+    table, by_script = np.zeros((1 << SLOT_BITS, len(languages))), np.zeros((len(_NAMES), len(languages)))
+    table[rows.code[grams], at[grams]] = rows.n[grams]
+    by_script[rows.code[~grams], at[~grams]] = rows.n[~grams]
+    totals = table.sum(0) + 0.5 * (1 + (table > 0).any(1).sum())
     fits = (by_script > 0) & (by_script >= SCRIPT_SHARE * by_script.sum(0))
     common = max(range(len(languages)), key=lambda i: (counts[languages[i]], -i))
-    return Model(languages, codes, np.log((table + 0.5) / totals), np.log(0.5 / totals), fits, common, penalty)
+    return Model(languages, np.log((table + 0.5) / totals).astype(np.float32), fits, common, penalty)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -206,7 +207,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", spans: boo
     score 0. Ties go to the language that is first by code point. Texts are read
     whole; a task holds one Arrow batch. An empty model labels everything ``und``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # most_grams rows at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes for each language and slot: 1 MB a language
     shape = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

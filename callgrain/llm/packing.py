@@ -3,12 +3,14 @@
 Bounded-space online best-fit: a task has a fixed number of open bins. A bitset has
 one bit for each amount of free space; the lowest bit at or above a piece's length
 is the open bin it fits best. When no bin fits and all are in use, the fullest one
-is closed. Tasks pack their own rows, so nothing is shuffled; a second, small round
-packs the bins that were still open when the tasks ended into one another.
+is closed. Tasks pack their own rows, and rows of closed bins are not shuffled; a second round,
+over one row a bin, packs the bins that were still open when the tasks ended into one
+another, and the rows of these bins alone are joined to it.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,25 +22,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map, partitions, written
-from callgrain.llm.tokens import PIECES, byte_letters, cut
+from callgrain.llm._shared import Memo, arrow_map, partitions, written
+from callgrain.llm.tokens import PIECES, byte_letters, check_byte_level, cut
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-#: Parts, and pieces, whose ids a worker remembers before it starts anew.
-MEMO = 500_000
 #: Open bins in the second round's tasks: all that one task gets.
 ROUND_BINS = 4096
+#: Rows that leave a task together.
+ROWS = 8192
 
 
 class BestFit:
-    """Open bins by free space. ``put`` returns (bin, offset); closed bins go to ``closed``."""
+    """Open bins by free space. ``put`` returns (bin, offset); bins that it closed are added to ``closed``."""
 
     def __init__(self, size: int, bins: int) -> None:
         self.size, self.bins = size, bins
         self.free: list[list[int]] = [[] for _ in range(size + 1)]  # bins by free space
         self.bits, self.open, self.made = 0, 0, 0
+        self.closed: list[int] = []
 
     def put(self, length: int) -> tuple[int, int]:
         fits = self.bits >> length
@@ -47,13 +50,15 @@ class BestFit:
             own = self._take(space)
         else:
             if self.open == self.bins:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))  # the fullest
             own, space = self.made, self.size
             self.made += 1
         if left := space - length:
             self.free[left].append(own)
             self.bits |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(own)
         return own, self.size - space
 
     def _take(self, space: int) -> int:
@@ -70,41 +75,47 @@ class BestFit:
                 yield own, self.size - space
 
 
-class _Pieces(dict):
+class _Pieces(Memo):
     """Little-endian unsigned 32-bit ids of the pieces that the vocabulary's pattern gives."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
         self.tokenize = tokenizer.model.tokenize
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
         if piece.isascii() and piece.isprintable():
             shown = piece.replace(" ", self.letters[ord(" ")])
         else:
             shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = self[piece] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        self.keep(piece, ids)
         return ids
 
 
-class _Ids(dict):
-    """The same of the parts that cut() gives."""
+class _Ids(Memo):
+    """The same of the parts that cut() gives, where the vocabulary is cut so; else of whole texts alone."""
 
     def __init__(self, path: str) -> None:
         import os
 
+        super().__init__()
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.split = _Pieces(self.tokenizer), regex.compile(PIECES).findall
+        try:
+            check_byte_level(json.loads(self.tokenizer.to_str()))
+            self.parts = True
+        except ValueError:
+            self.parts = False
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        ids = self[part] = b"".join(map(self.pieces.__getitem__, self.split(part)))
+        ids = b"".join(map(self.pieces.__getitem__, self.split(part)))
+        self.keep(part, ids)
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -114,7 +125,7 @@ class _Ids(dict):
         """Ids of a whole text: parts and pieces known from earlier ones are not tokenised again."""
         if not text:
             return b""
-        parts = None if any(m in text for m in self.marks) else cut(text)
+        parts = cut(text) if self.parts and not any(m in text for m in self.marks) else None
         return self.whole(text) if parts is None else b"".join(map(self.__getitem__, parts))
 
 
@@ -151,44 +162,53 @@ def packed(
     Only documents of more than ``size`` ids are cut. Repeated rows and null ids are
     packed like others, each row for itself. Further columns are not read. ``with_ids``
     adds the pieces' ids as little-endian unsigned 32-bit numbers.
-    Bins number ``bins`` in a task at most, whatever the input; the rows of the bins
-    still open at a task's end meet again by sequence only, at most ``bins`` a task.
+    A task holds ``bins`` open bins at most, and the rows in them; rows leave it when their bin
+    closes, and those pass straight through. Only rows of bins still open at a task's end meet
+    the second round's table again, in a join by bin.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     end = array("I", [end_id]).tobytes()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, best = ids_of(vocabulary), BestFit(size, bins)
-        task = TaskContext.get().partitionId() << 32
+        task, held, out = TaskContext.get().partitionId() << 32, {}, []
+        doc_kind = pa.int64()
+
+        def leave(own: int, used: int | None) -> None:
+            out.extend((*row, task + own, used) for row in held.pop(own))
+
         for batch in batches:
-            names, rows = batch.column(0), {k: [] for k in ("at", "piece", "start", "length", "crc", "bin", "offset", "ids")}
-            for at, body in enumerate(map(ids.of, batch.column(1).to_pylist())):
-                body += end
+            doc_kind = batch.column(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                body = ids.of(text) + end
                 for piece, (start, length) in enumerate(pieces(len(body) // 4, size)):
                     own, offset = best.put(length)
                     data = body[4 * start : 4 * (start + length)]
-                    values = (at, piece, start, length, zlib.crc32(data), task + own, offset, data)
-                    for column, value in zip(rows.values(), values, strict=True):
-                        column.append(value)
-            columns = [names.take(pa.array(rows["at"], pa.int32())), pa.array(rows["piece"], pa.int32())]
-            columns += [pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc", "bin", "offset")]
-            columns += [pa.nulls(len(rows["at"]), pa.int64()), pa.array(rows["ids"], pa.binary()) if with_ids else pa.nulls(len(rows["at"]), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, fields)
-        left = list(best.still_open())
-        columns = [pa.nulls(len(left), names.type if left else pa.int64())] + [pa.nulls(len(left), pa.int32())] + [pa.nulls(len(left), pa.int64())] * 3
-        columns += [pa.array([task + own for own, _ in left], pa.int64()), pa.nulls(len(left), pa.int64()), pa.array([used for _, used in left], pa.int64()), pa.nulls(len(left), pa.binary())]
-        if left:
-            yield pa.RecordBatch.from_arrays(columns, fields)
-
-    fields = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "used", "ids"]
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, used long, ids binary"
+                    held.setdefault(own, []).append((doc, piece, start, length, zlib.crc32(data), data if with_ids else None, offset))
+                    while best.closed:
+                        leave(best.closed.pop(), None)
+                if len(out) > ROWS:
+                    yield _batch(out, doc_kind)
+                    out.clear()
+        for own, used in best.still_open():
+            leave(own, used)
+        yield _batch(out, doc_kind)
+
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary, offset long, bin long, used long"
     rows = written(arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fit, schema))
-    moved = _merged(rows.filter("used is not null").select("bin", "used"), size)
-    placed = rows.filter("used is null").drop("used")
-    out = placed.join(moved, "bin", "left")
-    out = out.withColumn("sequence_id", F.coalesce("into", "bin")).withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return out.select(*names, *["ids"] * with_ids)
+    still = rows.filter("used is not null")
+    moved = _merged(still.select("bin", "used").distinct(), size)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
+    closed = rows.filter("used is null").withColumn("sequence_id", F.col("bin"))
+    again = still.join(moved, "bin").withColumn("sequence_id", F.col("into")).withColumn("offset", F.col("offset") + F.col("shift"))
+    return closed.select(*names).unionByName(again.select(*names))
+
+
+def _batch(rows: list[tuple], doc_kind: pa.DataType) -> pa.RecordBatch:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "offset", "bin", "used"]
+    kinds = [doc_kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
 
 def _merged(left: DataFrame, size: int) -> DataFrame:

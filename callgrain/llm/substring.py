@@ -22,12 +22,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map, bitmap_bytes, by_bucket, chunks, filter_bits, in_bitmap, mixed, partitions, runs, signed, text_bytes, word_hashes, written
+from callgrain.llm._shared import arrow_map, bitmap_bytes, by_bucket, chunks, dealt, filter_bits, gathered, in_bitmap, mixed, partitions, runs, signed, text_bytes, word_hashes, written
 
 #: Words in an anchor.
 SEED = 6
 #: An anchor with more occurrences is spread over SPREAD tasks.
 FREQUENT, SPREAD = 512, 64
+#: Buckets of anchors for each task or input partition: what a task holds is one bucket.
+BUCKETS = 8
 #: Stands for a null id, after all others.
 LAST = (1 << 63) - 1
 
@@ -73,13 +75,9 @@ def _seed_rows(buckets: int, window: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds that occur more than once, with their counts: a task has whole buckets."""
-    parts: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, blob in zip(*batch.to_pydict().values(), strict=True):
-            parts.setdefault(bucket, []).append(blob)
-    for bucket in list(parts):
-        seeds, n = np.unique(np.frombuffer(b"".join(parts.pop(bucket)), np.uint64), return_counts=True)
+    """Seeds that occur more than once, with their counts. A bucket is in one task; rows come sorted by bucket."""
+    for (own,) in gathered(batches, (np.uint64,)):
+        seeds, n = np.unique(own, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(signed(seeds[n > 1])), pa.array(n[n > 1])], ["seed", "n"])
 
 
@@ -106,43 +104,37 @@ def _extended(window: int, bits, frequent, buckets: int):
 
 
 def _compared(frequent):
-    """(doc, row, places, seed, window, place): windows met before in a smaller document; or, with a window, firsts of frequent anchors."""
+    """(doc, row, places, seed, window): windows met before in a smaller document; or, with a window, the firsts of frequent anchors.
+
+    The places of a document's firsts of one window are one row, however often it repeats the window.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[list[bytes]]] = {}
-        for batch in batches:
-            for bucket, *blobs in zip(*batch.to_pydict().values(), strict=True):
-                for held, blob in zip(parts.setdefault(bucket, [[], [], [], [], []]), blobs, strict=True):
-                    held.append(blob)
-        for bucket in list(parts):
-            kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
-            seeds, windows, docs, rows, places = (np.frombuffer(b"".join(x), t) for x, t in zip(parts.pop(bucket), kinds, strict=True))
+        common = frequent.value
+        for seeds, windows, docs, rows, places in gathered(batches, (np.uint64, np.uint64, np.int64, np.int64, np.int32)):
             order = np.lexsort((docs, seeds, windows))
             seeds, windows, docs, rows, places = seeds[order], windows[order], docs[order], rows[order], places[order]
             new = np.r_[True, (windows[1:] != windows[:-1]) | (seeds[1:] != seeds[:-1])][: len(seeds)]
             first = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(seeds) else docs
             later = docs > first
-            yield _ranges(docs[later], rows[later], places[later])
-            if len(common := frequent.value) and (firsts := ~later & np.isin(seeds, common)).any():
-                columns = [signed(seeds[firsts]), signed(windows[firsts]), places[firsts]]
-                none = pa.nulls(int(firsts.sum()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(docs[firsts]), pa.array(rows[firsts]), none, *map(pa.array, columns)], ["doc", "row", "places", "seed", "window", "place"])
+            none = np.zeros(int(later.sum()), np.uint64)
+            yield _ranges(docs[later], rows[later], places[later], none, none, False)
+            if len(common) and (firsts := ~later & np.isin(seeds, common)).any():
+                yield _ranges(docs[firsts], rows[firsts], places[firsts], seeds[firsts], windows[firsts], True)
 
     return compare
 
 
-def _ranges(docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A line for each row of a document, its window starts as bytes."""
-    order = np.lexsort((places, rows, docs))
-    docs, rows, places = docs[order], rows[order], places[order]
-    starts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])][: len(docs)])
+def _ranges(docs: np.ndarray, rows: np.ndarray, places: np.ndarray, seeds: np.ndarray, windows: np.ndarray, named: bool) -> pa.RecordBatch:
+    """A line for each row of a document, and window if ``named``; its window starts as bytes."""
+    order = np.lexsort((places, windows, seeds, rows, docs))
+    docs, rows, places, seeds, windows = docs[order], rows[order], places[order], seeds[order], windows[order]
+    change = (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1]) | (seeds[1:] != seeds[:-1]) | (windows[1:] != windows[:-1])
+    starts = np.flatnonzero(np.r_[True, change][: len(docs)])
     ends = np.r_[starts[1:], len(docs)][: len(starts)]
     blobs = [places[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-    n = len(starts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs[starts]), pa.array(rows[starts]), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
-        ["doc", "row", "places", "seed", "window", "place"],
-    )
+    marks = [pa.array(signed(x[starts])) if named else pa.nulls(len(starts), pa.int64()) for x in (seeds, windows)]
+    return pa.RecordBatch.from_arrays([pa.array(docs[starts]), pa.array(rows[starts]), pa.array(blobs, pa.binary()), *marks], ["doc", "row", "places", "seed", "window"])
 
 
 def _cleaned(window: int):
@@ -157,6 +149,9 @@ def _cleaned(window: int):
                 order = np.lexsort((chunk.at, chunk.windows[chunk.at], chunk.doc[chunk.at])) if len(chunk.at) else chunk.at
                 s = chunk.at[order]
                 again = (chunk.windows[s][1:] == chunk.windows[s][:-1]) & (chunk.doc[s][1:] == chunk.doc[s][:-1])
+                if again.any():
+                    second = runs(mixed(chunk.hashes, 8), window)
+                    again &= second[s[1:]] == second[s[:-1]]
                 gone[s[1:][again]] = True
                 for i in range(a, b):
                     for blob in found[i] or ():
@@ -201,26 +196,20 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _binary(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    buckets = max(partitions(spark), rows.rdd.getNumPartitions()) * 2
+    buckets = max(partitions(spark), rows.rdd.getNumPartitions()) * BUCKETS
     seeds = arrow_map(rows.select("text"), _seed_rows(buckets, window), "bucket int, seeds binary")
-    repeated = written(seeds.repartition(partitions(spark), "bucket").mapInArrow(_repeated, "seed long, n long"))
+    repeated = written(dealt(seeds, "bucket").mapInArrow(_repeated, "seed long, n long"))
     bits = filter_bits(repeated.count())
     filled = sc.broadcast(bitmap_bytes(repeated.select(F.pmod("seed", F.lit(bits)).alias("slot")), bits))
     most = repeated.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "seed").limit(1_000_000).select("seed").collect()
     frequent = sc.broadcast(np.array([r.seed for r in most], np.int64).view(np.uint64))
     around = arrow_map(rows, _extended(window, filled, frequent, buckets), "bucket int, seeds binary, windows binary, docs binary, rows binary, places binary")
-    met = written(around.repartition(partitions(spark), "bucket").mapInArrow(_compared(frequent), "doc long, row long, places binary, seed long, window long, place int"))
+    met = written(dealt(around, "bucket").mapInArrow(_compared(frequent), "doc long, row long, places binary, seed long, window long"))
+    # a window of a frequent anchor has a row for each document that is first in one of SPREAD tasks
     own = Window.partitionBy("seed", "window")
-    firsts = met.filter("seed is not null").withColumn("least", F.min("doc").over(own)).filter("doc > least").select("doc", "row", "place")
-    late = firsts.mapInArrow(_as_ranges, "doc long, row long, places binary")
-    found = met.filter("places is not null").select("doc", "row", "places").unionByName(late)
+    late = met.filter("seed is not null").withColumn("least", F.min("doc").over(own)).filter("doc > least")
+    found = met.filter("seed is null").select("doc", "row", "places").unionByName(late.select("doc", "row", "places"))
     per_row = found.groupBy("doc", "row").agg(F.collect_list("places").alias("found"))
     joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(per_row.hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "found")
     out = arrow_map(joined, _cleaned(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out.drop("kept")
-
-
-def _as_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = _ranges(*[c.to_numpy() for c in batch.columns])
-        yield pa.RecordBatch.from_arrays(rows.columns[:3], ["doc", "row", "places"])

@@ -18,14 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map
+from callgrain.llm._shared import Memo, arrow_map
 
 #: Fixed value: the pattern that cuts texts of this family of vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than blanks and line feeds, and the mark that cut() puts in.
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff\x01]")
-#: Counts a worker remembers before it starts anew.
-MEMO = 400_000
 
 
 def cut(text: str) -> list[str] | None:
@@ -47,12 +45,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check_byte_level(spec: dict) -> None:
+    """Raises unless the vocabulary is cut by PIECES and merged from bytes, as the operators here do."""
+    model, cutter = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"type": cutter.get("type"), "blank": cutter.get("add_prefix_space", False), "pattern": cutter.get("use_regex", True)}
+    if spec.get("normalizer") or plain != {"type": "ByteLevel", "blank": False, "pattern": True}:
+        raise ValueError("only vocabularies without a normaliser, cut by the byte-level pattern, can be counted")
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        raise ValueError("only plain byte-pair models can be counted")
+    if any(not t.get("special") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", [])):
+        raise ValueError("added tokens must be special, and match as they stand")
+
+
 class MergeCounter:
     """Counts the tokens of texts under the merges of a ``.json`` byte-pair vocabulary."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_byte_level(spec)
         letters = byte_letters()
         symbol = {x: i for i, x in enumerate(spec["model"]["vocab"])}
         self.first = [0] * 256
@@ -68,16 +79,14 @@ class MergeCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = special
         self.pieces = regex.compile(PIECES)
-        self.counts: dict[str, int] = {}
-        self.parts = _Parts(self)
+        self.counts, self.parts = Memo(), _Parts(self)
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
         known = self.counts.get(text)
         if known is None:
-            if len(self.counts) > MEMO:
-                self.counts.clear()
-            known = self.counts[text] = self.merge(text.encode("utf-8", "surrogatepass"))
+            known = self.merge(text.encode("utf-8", "surrogatepass"))
+            self.counts.keep(text, known)
         return known
 
     def merge(self, data: bytes) -> int:
@@ -129,16 +138,16 @@ class MergeCounter:
         return self.plain(text)
 
 
-class _Parts(dict):
+class _Parts(Memo):
     """Counts of the parts that cut() gives."""
 
     def __init__(self, counter: MergeCounter) -> None:
+        super().__init__()
         self.counter = counter
 
     def __missing__(self, part: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        n = self[part] = sum(map(self.counter.piece, self.counter.pieces.findall(part)))
+        n = sum(map(self.counter.piece, self.counter.pieces.findall(part)))
+        self.keep(part, n)
         return n
 
 
@@ -155,7 +164,8 @@ def counter(path: str) -> MergeCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
-    Narrow: no shuffle, and each task holds one small Arrow batch and bounded memos.
+    Narrow: no shuffle, and each task holds one Arrow batch of bounded bytes and memos of
+    MEMO_BYTES each. A vocabulary of another kind than byte-level pairs raises ValueError.
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null ids are
     rows like others. Further columns of ``docs`` are not read. A very long text
     takes O(n log n) for its longest piece.

@@ -81,9 +81,9 @@ def test_ids_are_the_librarys(text):
     assert ids.of(text) == ids.whole(text)
 
 
-def test_forgotten_ids_are_found_again(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 1)
-    ids = packing.ids_of(queries.vocabulary())
+def test_forgotten_ids_are_found_again():
+    ids = packing._Ids(queries.vocabulary())
+    ids.most = ids.pieces.most = 400
     text = "one two, one\ntwo three " * 20 + "one"
     assert ids.of(text) == ids.whole(text)
 
@@ -144,7 +144,7 @@ def test_path_is_the_best_of_all_paths():
         return sum(s[i] for s, i in zip(scores, path, strict=True)) - 10 * sum(a != b for a, b in zip(path, path[1:], strict=False))
 
     def labeller(n):
-        return language.Labeller(language.Model([str(i) for i in range(n)], np.zeros(1, np.uint64), np.zeros((1, n)), np.zeros(n), np.zeros((1, n), bool), 0))
+        return language.Labeller(language.Model([str(i) for i in range(n)], np.zeros((1, n)), np.zeros((1, n), bool), 0))
 
     stretches = np.array([[0.0, -20, -2]] * 4 + [[-20, 0.0, -2]] * 4)
     assert labeller(3).path(stretches).tolist() == [0] * 4 + [1] * 4
