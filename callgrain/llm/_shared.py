@@ -72,7 +72,8 @@ def small_batches(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+    held = spark.conf.get(key).rstrip("bB")  # with another unit it is the user's own
+    if held.isdigit() and int(held) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
