@@ -1,12 +1,14 @@
 """Exact top-k search by inner product.
 
 Vectors are ordered by descending length and cut into blocks; queries too are cut
-into blocks, and Spark brings blocks together on a key of the two block numbers.
-Within a block, vectors are rotated by the singular vectors of the whole table, so
-that the first few components hold most of an inner product; what is left is at most
-the product of the residual lengths (Cauchy-Schwarz). A pair whose bound is under the
-query's k-th best score so far is never computed. The block of the longest vectors is
-searched first and gives each query a threshold for the others.
+into blocks. Within a block, vectors are rotated by the singular vectors of the whole
+table, so that the first few components hold most of an inner product; what is left is at
+most the product of the residual lengths (Cauchy-Schwarz). What its bound puts under the
+query's k-th best score so far is left out.
+
+The block of the longest vectors is searched first and gives each query a floor. A block
+whose longest vector can't reach the floor of any query of a query block is never brought
+together with it. Tasks hold one block of vectors and read query blocks one after the other.
 """
 
 from __future__ import annotations
@@ -19,12 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import written
+from callgrain.llm._shared import arrow_map, partitions, written
 
-#: Vectors in a candidate block and in a query block: what a task holds at once.
-BLOCK, QUERIES = 8192, 2048
+#: Vectors in a candidate block, and at most in a query block: what a task holds at once.
+BLOCK, QUERIES = 4096, 2048
+#: Query blocks that one task compares with a block.
+GROUP = 64
 #: Candidates whose bounds are computed together.
 STEP = 1024
+#: If more than this share of pairs passes the bounds, scores are one product of matrices.
+DENSE = 0.02
+#: Tasks that sum up outer products.
+SUMS = 8
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
@@ -38,21 +46,25 @@ def usable(vector: Column) -> Column:
 
 
 def _gram(vectors: DataFrame, d: int) -> np.ndarray:
-    """Sum of outer products over all vectors: d * d numbers reach the driver."""
+    """Sum of outer products over all vectors: d * d numbers from each of SUMS tasks reach the driver."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
             m = _matrix(batch.column(0), d)
             total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = vectors.select("v").mapInArrow(outer, "i int, sums array<double>")
-    rows = parts.groupBy("i").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(d)]).alias("sums")).collect()
-    out = np.zeros((d, d))
-    for row in rows:
-        out[row.i] = row.sums
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x).reshape(d, d)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = arrow_map(vectors.select("v"), outer, "sums binary")
+    rows = arrow_map(parts.repartition(SUMS), add, "sums binary").collect()
+    return sum((np.frombuffer(r.sums).reshape(d, d) for r in rows), np.zeros((d, d)))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -91,62 +103,101 @@ def _blocks(rows: DataFrame, d: int, size: int) -> DataFrame:
         if sum(map(len, ids)):
             yield block()
 
-    return rows.mapInArrow(cut, "block long, ids binary, m binary, longest double")
-
-
-def _search(pairs: DataFrame, d: int, k: int, turn: np.ndarray, head: int) -> DataFrame:
-    """(query_id, vec_id, score): from each pair of blocks, candidates that may be among a query's k best."""
+    return arrow_map(rows, cut, "block long, ids binary, m binary, longest double")
+
+
+def _sorted(ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -(m * m).sum(1)))
+    return ids[order], m[order]
+
+
+def _pair(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, qm: np.ndarray, floor: np.ndarray, k: int, turn: np.ndarray, head: int) -> pa.RecordBatch:
+    """(query_id, vec_id, score): of a block, sorted by descending length, what may be among a query's k best."""
+    turned, qturned = m @ turn[:, :head], qm @ turn[:, :head]
+    square, qsquare = (m * m).sum(1), (qm * qm).sum(1)
+    length, qlength = np.sqrt(square), np.sqrt(qsquare)
+    rest, qrest = np.sqrt(np.maximum(square - (turned**2).sum(1), 0)), np.sqrt(np.maximum(qsquare - (qturned**2).sum(1), 0))
+    best, found = [np.empty(0, np.int64)] * 3, floor.copy()
+    for s in range(0, len(ids), STEP):
+        e = min(s + STEP, len(ids))
+        slack = 1e-6 * qlength * length[s] + 1e-6  # rounding of the rotated sums
+        live = np.flatnonzero(qlength * length[s] + slack >= found)
+        if not len(live):
+            break  # all that follow are shorter still
+        bound = qturned[live] @ turned[s:e].T + qrest[live, None] * rest[None, s:e] + slack[live, None]
+        passed = bound >= found[live, None]
+        if passed.mean() > DENSE:
+            rows, columns = live[passed.any(1)], s + np.flatnonzero(passed.any(0))
+            score = qm[rows] @ m[columns].T
+            score[qids[rows][:, None] == ids[columns][None, :]] = -np.inf
+            least = found[rows]
+            if len(columns) > k:
+                least = np.maximum(least, np.partition(score, len(columns) - k, axis=1)[:, len(columns) - k])
+            q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            score, q, c = score[q, c], rows[q], columns[c]
+        else:
+            q, c = np.nonzero(passed)
+            q, c = live[q], s + c
+            q, c = q[own := qids[q] != ids[c]], c[own]
+            score = np.einsum("ij,ij->i", qm[q], m[c])
+        best = [np.concatenate(x) for x in zip(best, (q, ids[c], score.astype(np.int64)), strict=True)]
+        order = np.lexsort((best[1], -best[2], best[0]))
+        best = [x[order] for x in best]
+        rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+        best = [x[rank < k] for x in best]
+        last = rank[rank < k] == k - 1
+        found[best[0][last]] = np.maximum(found[best[0][last]], best[2][last])
+    keep = best[2] >= floor[best[0]]
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (qids[best[0]], best[1], best[2])], ["query_id", "vec_id", "score"])
+
+
+def _search(met: DataFrame, d: int, k: int, turn: np.ndarray, head: int) -> DataFrame:
+    """(query_id, vec_id, score) over rows (block, group, qblock, ids, m, floors), a block's vectors before its query blocks."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = m = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, m = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["m"]).reshape(-1, d)
-                qids, qm = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qm"]).reshape(-1, d)
-                floor = np.frombuffer(row["floors"]) if row["floors"] else np.full(len(qids), -np.inf)
-                yield from _pair(ids, m, qids, qm, floor)
-
-    def _pair(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, qm: np.ndarray, floor: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((ids, -(m * m).sum(1)))
-        ids, m = ids[order], m[order]
-        turned, qturned = m @ turn, qm @ turn
-        length, qlength = np.sqrt((m * m).sum(1)), np.sqrt((qm * qm).sum(1))
-        rest, qrest = np.sqrt((turned[:, head:] ** 2).sum(1)), np.sqrt((qturned[:, head:] ** 2).sum(1))
-        best, found = [np.empty(0, np.int64)] * 3, floor.copy()
-        for s in range(0, len(ids), STEP):
-            e = min(s + STEP, len(ids))
-            slack = 1e-9 * qlength * length[s] + 1e-6  # rounding of the rotated sums
-            live = np.flatnonzero(qlength * length[s] + slack >= found)
-            if not len(live):
-                break  # all that follow are shorter still
-            bound = qturned[live, :head] @ turned[s:e, :head].T + qrest[live, None] * rest[None, s:e] + slack[live, None]
-            q, c = np.nonzero(bound >= found[live, None])
-            q = live[q]
-            for a in range(0, len(q), 1 << 18):
-                qa, ca = q[a : a + (1 << 18)], c[a : a + (1 << 18)] + s
-                own = qids[qa] != ids[ca]
-                qa, ca = qa[own], ca[own]
-                score = np.einsum("ij,ij->i", qm[qa], m[ca]).astype(np.int64)
-                best = [np.concatenate(x) for x in zip(best, (qa, ids[ca], score), strict=True)]
-                order = np.lexsort((best[1], -best[2], best[0]))
-                best = [x[order] for x in best]
-                rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
-                best = [x[rank < k] for x in best]
-                last = rank[rank < k] == k - 1
-                found[best[0][last]] = np.maximum(found[best[0][last]], best[2][last])
-        keep = best[2] >= floor[best[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (qids[best[0]], best[1], best[2])], ["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-
-
-def _floors(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Query blocks with each query's k-th best score so far."""
-    kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k)
-    ids = queries.select("qblock", "qids").mapInArrow(_spread, "qblock long, at int, query_id long")
-    blobs = ids.join(kth, "query_id", "left").groupBy("qblock").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor")))), lambda x: x.floor).alias("f")
-    )
-    return queries.drop("floors").join(blobs.mapInArrow(_packed_floors, "qblock long, floors binary"), "qblock")
+            for qblock, own_ids, own, floors in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True):
+                vectors, names = np.frombuffer(own).reshape(-1, d), np.frombuffer(own_ids, np.int64)
+                if qblock < 0:
+                    ids, m = _sorted(names, vectors)
+                    continue
+                floor = np.frombuffer(floors) if floors else np.full(len(names), -np.inf)
+                yield _pair(ids, m, names, vectors, floor, k, turn, head)
+
+    return arrow_map(met, search, "query_id long, vec_id long, score long")
+
+
+def _brought(pairs: DataFrame, blocks: DataFrame, queries: DataFrame, tasks: int) -> DataFrame:
+    """The pairs' blocks, each with its query blocks after it; GROUP query blocks a task."""
+    grouped = pairs.withColumn("group", F.expr(f"rank div {GROUP}").cast("int"))
+    asked = grouped.join(queries, "qblock").select("block", "group", "qblock", "ids", "m", "floors")
+    own = grouped.select("block", "group").distinct().join(blocks, "block")
+    own = own.select("block", "group", F.lit(-1).cast("long").alias("qblock"), "ids", "m", F.lit(None).cast("binary").alias("floors"))
+    return own.unionByName(asked).repartition(tasks, "block", "group").sortWithinPartitions("block", "group", "qblock")
+
+
+def _floors(queries: DataFrame, found: DataFrame, k: int, d: int) -> DataFrame:
+    """Query blocks with each query's k-th best score so far, and ``need``: the length under which a vector can't reach any of these."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+    ids = queries.select("qblock", "ids").mapInArrow(_spread, "qblock long, at int, query_id long")
+    floor = F.struct("at", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    blobs = ids.join(kth, "query_id", "left").groupBy("qblock").agg(F.transform(F.sort_array(F.collect_list(floor)), lambda x: x.floor).alias("f"))
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], []]
+            for m, floors in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                size, f = np.sqrt((np.frombuffer(m).reshape(-1, d) ** 2).sum(1)), np.array(floors)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    least = np.where(f <= 0, -np.inf, f / size)
+                out[0].append(f.tobytes())
+                out[1].append(float(least.min() * (1 - 1e-6)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out[0], pa.binary()), pa.array(out[1], pa.float64())], ["qblock", "ids", "m", "floors", "need"])
+
+    joined = queries.drop("floors").join(blobs, "qblock").select("qblock", "ids", "m", "f")
+    return arrow_map(joined, need, "qblock long, ids binary, m binary, floors binary, need double")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +207,6 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids)], ["qblock", "at", "query_id"])
 
 
-def _packed_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = [np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["qblock", "floors"])
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -185,8 +230,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     )
     n, d = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n or not d:
-        d = 1
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    d = max(d, 1)
     power, turn = np.linalg.eigh(_gram(rows, d))
     turn, power = turn[:, ::-1], np.cumsum(power[::-1])
     head = int(min(max(1, d // 2), 1 + np.searchsorted(power, 0.8 * power[-1])))
@@ -194,19 +240,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     ordered = rows.select("id", "v", "norm").repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v")
     blocks = written(_blocks(ordered, d, BLOCK))
     asked = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "v")
-    asked = asked.repartition(max(1, -(-n // every // QUERIES)), F.xxhash64("id"))
-    queries = written(_blocks(asked, d, QUERIES).select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("m").alias("qm")))
-    numbers = queries.select("qblock").withColumn("floors", F.lit(None).cast("binary"))
-
-    def pairs(which: DataFrame, asked: DataFrame) -> DataFrame:
-        """Each candidate block with each query block, by the blocks' numbers: the stated queries against all rows."""
-        table = F.broadcast(numbers.select("qblock"))  # 8 bytes for each QUERIES queries
-        each = which.join(table, F.lit(True))
-        return each.repartition(min(10_000, max(1, parts)), "block", "qblock").join(asked, "qblock")
-
-    longest = blocks.agg(F.min("block")).first()[0]
-    first = written(_search(pairs(blocks.filter(F.col("block") == longest), queries.withColumn("floors", F.lit(None).cast("binary"))), d, k, turn, head)) if n else None
-    if first is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    others = _search(pairs(blocks.filter(F.col("block") != longest), _floors(queries, first, k)), d, k, turn, head)
-    return _best(first.unionByName(others), k).select("query_id", "rank", "vec_id", "score")
+    # each task gets a query block at least, of QUERIES at most
+    size = max(1, min(QUERIES, -(-n // every // partitions(spark))))
+    queries = written(_blocks(asked.repartition(max(1, -(-n // every // size)), F.xxhash64("id")), d, size).select(F.col("block").alias("qblock"), "ids", "m", F.lit(None).cast("binary").alias("floors")))
+    longest = blocks.agg(F.max_by("block", "longest")).first()[0]
+    # the first block goes to every query block: it is BLOCK vectors, whatever the table
+    own = blocks.filter(F.col("block") == longest).select("ids", "m").first()
+    sent = spark.sparkContext.broadcast(_sorted(np.frombuffer(own.ids, np.int64), np.frombuffer(own.m).reshape(-1, d)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names = np.frombuffer(names, np.int64)
+                yield _pair(*sent.value, names, np.frombuffer(vectors).reshape(-1, d), np.full(len(names), -np.inf), k, turn, head)
+
+    tasks = max(1, min(10_000, queries.count()))
+    found = written(arrow_map(queries.select("ids", "m").repartition(tasks), first, "query_id long, vec_id long, score long"))
+    floors = written(_floors(queries, found, k, d))
+    needs = floors.select("qblock", "need")  # 16 bytes for each query block
+    left = blocks.filter(F.col("block") != longest).select("block", "longest")
+    pairs = left.join(F.broadcast(needs), F.sqrt("longest") >= F.col("need")).select("block", "qblock")
+    pairs = written(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("qblock")) - 1))
+    groups = pairs.select("block", F.expr(f"rank div {GROUP}")).distinct().count()
+    if not groups:
+        return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    others = _search(_brought(pairs, blocks, floors, max(1, min(10_000, groups))), d, k, turn, head)
+    return _best(found.unionByName(others), k).select("query_id", "rank", "vec_id", "score")
