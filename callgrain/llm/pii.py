@@ -63,6 +63,9 @@ _SPELLED_PART = re.compile(rf"plus|dot|point|{_D}|[0-9]+|[ ,.-]+")
 # A run of blanks is tried from its first one only.
 _AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(?:at|@|arroba|arobase)\s*[\])}>]\s*|(?<=[a-z0-9])\s+(?:at|arroba|arobase)\s+(?=[a-z0-9])", re.I)
 _DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|(?<=[a-z0-9])\s+(?:dot|punkt|punto)\s+(?=[a-z0-9])", re.I)
+#: Last labels of an address whose "at" is a bare word, and words before it that are no names.
+TOP_LEVEL = frozenset("com org net edu gov int mil info biz name io co ai app dev me tv us uk de fr es it nl be ch at eu ca au nz in jp cn br mx ru pl se no fi dk pt ie".split())
+NO_NAMES = frozenset("look looked looking looks arrive arrived arrives arriving meet meeting met stay stayed live lived work worked working works start started begin began buy bought shop see saw seen find found read order ordered sign stop is are was were be been it that this and or not back here there them us you me".split())
 #: One of these is in every stretch that stands for "at" or "dot" and counts as a disguise: a bare "at" does not.
 _HINTS = ("[", "(", "{", "<", "dot", "punkt", "punto")
 #: One of these is in every run of spelled digits that counts: digits and gaps alone do not.
@@ -180,19 +183,40 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str, str]]:
 def _word_edits(text: str) -> list[tuple[int, int, str, str]]:
     found = [(m.start(), m.end(), "@", "at" if m[0].strip()[0] in "[({<" else "bare at") for m in _AT.finditer(text)]
     found += [(m.start(), m.end(), ".", "dot") for m in _DOT.finditer(text)]
+    return _apart(found)
+
+
+_GLUED = re.compile(rf"(?<=[a-z0-9])[ -]+{_D}(?:[ -]+{_D})*$")
+_GLUED_PART = re.compile(rf"{_D}|[ -]+")
+
+
+def _glue_edits(low: str, marks: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Spelled digits right before an "at", joined to the word before them."""
+    out = []
+    for start, _, new, _ in marks:
+        if new == "@" and (m := _GLUED.search(low, max(0, start - 80), start)):
+            for part in _GLUED_PART.finditer(low, m.start(), m.end()):
+                out.append((part.start(), part.end(), str(DIGIT_WORDS.index(part[0])) if part[0] in DIGIT_WORDS else "", "glued"))
+    return out
+
+
+def _apart(edits: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """In order, without those that overlap one before."""
     out, at = [], 0
-    for edit in sorted(found):
+    for edit in sorted(edits):
         if edit[0] >= at:
             out.append(edit)
             at = edit[1]
     return out
 
 
-def _counts(kind: str, done: set[str]) -> bool:
-    """Whether what was undone in a span makes it a disguise of that kind."""
-    if kind == "email":
-        return "glyph" in done or "at" in done or "dot" in done
-    return bool(done & {"glyph", "digit", "dot"})
+def _counts(kind: str, done: set[str], found: str) -> bool:
+    """Whether what was undone in a span makes it a disguise of that kind; bare words alone need a likely address."""
+    if kind != "email":
+        return bool(done & {"glyph", "digit", "dot"})
+    if "bare at" in done and "at" not in done and "glyph" not in done:
+        return "dot" in done and found.rpartition(".")[2].lower() in TOP_LEVEL and found.partition("@")[0].lower() not in NO_NAMES
+    return bool(done & {"glyph", "at", "dot"})
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, str]]:
@@ -209,17 +233,16 @@ def disguised_spans(text: str) -> list[tuple[int, int, str]]:
     low = base.lower()
     if len(low) != len(base):  # places must stay: letters whose lower case is longer are kept
         low = "".join(x if len(x := c.lower()) == 1 else c for c in base)
-    makers = []
-    if any(hint in low for hint in _HINTS):
-        makers.append((_word_edits, base))
-    if any(word in low for word in _WORDS):
-        makers.append((_spelled_edits, low))
-    for edits, source in makers:
-        if found := edits(source):
-            copy = Copy.of(base, found)
+    words = _word_edits(base) if any(hint in low for hint in _HINTS) else []
+    digits = _spelled_edits(low) if any(word in low for word in _WORDS) else []
+    glued = _glue_edits(low, words) if digits or any(word in low for word in DIGIT_WORDS) else []
+    # each on its own, and all at once: what one of them finds, the others can't hide
+    for edits in (words, digits, _apart([*words, *digits, *glued]) if words and (digits or glued) else []):
+        if edits:
+            copy = Copy.of(base, edits)
             for start, end, kind in plain_spans(copy.text):
                 first, last, done = copy.source(start, end)
-                if _counts(kind, done):
+                if _counts(kind, done, copy.text[start:end]):
                     if glyphs:
                         first, last, _ = glyphs.source(first, last)
                     out.append((first, last, kind))
@@ -231,10 +254,14 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     order = {k: i for i, k in enumerate(KINDS)}
     key = lambda s: (s[0], order[s[2]], s[1])
     plain = sorted(plain_spans(text), key=key)
-    more = []
-    for start, end, kind in dict.fromkeys(disguised_spans(text)):
-        if not any(a <= start and end <= b and k == kind for a, b, k in plain + more):
+    more, high, at = [], dict.fromkeys(KINDS, -1), 0  # high: the furthest end so far, by kind, of what starts no later
+    for start, end, kind in sorted(set(disguised_spans(text)), key=lambda s: (s[0], -s[1], s[2])):
+        while at < len(plain) and plain[at][0] <= start:
+            high[plain[at][2]] = max(high[plain[at][2]], plain[at][1])
+            at += 1
+        if end > high[kind]:
             more.append((start, end, kind))
+            high[kind] = end
     return plain, sorted(plain + more, key=key)
 
 
