@@ -20,8 +20,9 @@ from callgrain.llm._shared import written
 
 #: Times that a document is taken at most, and its words offered.
 REPEATS = 3
-#: Buckets of the seeded order within a pattern; documents are put in order in one of them only.
-BUCKETS = 4096
+#: Bits of a key that number the buckets of the seeded order within a pattern, at least and at most; documents are put in
+#: order in one bucket only, which has about IN_BUCKET of them.
+FEWEST_BITS, MOST_BITS, IN_BUCKET = 12, 24, 4096
 #: Documents put in order at once, at the first cut and at later ones; any number of cuts follows.
 EDGE, LATER = 64, 1 << 16
 #: Patterns and sources that the driver's flow takes; beyond that the operator refuses.
@@ -117,7 +118,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     than three times. source_size and target are sums over a document's sources.
 
     Sums by pattern and bucket are made before the shuffle, so a hot source is no more
-    than BUCKETS rows; only documents of a bucket a pattern, or EDGE of them, are put in order.
+    than a row a bucket; only documents of a bucket a pattern, or EDGE of them, are put in order, and
+    the number of buckets grows with the documents.
     Room that these leave goes to later documents that fit, by sums and buckets again,
     until none is left that fits.
     The flow works on one number a pattern; beyond MOST_PATTERNS it raises.
@@ -130,10 +132,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text)
     struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if keep_rows else F.col(f"`{id_col}`").alias("doc")
     rows = docs.select(struct, F.to_json(members).alias("members"), word_count(text).alias("size"), key.alias("key"))
-    rows = rows.withColumn("bucket", F.shiftrightunsigned(F.col("key"), 52).cast("int"))
     if not keep_rows:
         rows = written(rows)
-    narrow = written(rows.select("members", "bucket", "key", "size")) if keep_rows else rows.select("members", "bucket", "key", "size")
+    narrow = written(rows.select("members", "key", "size")) if keep_rows else rows.select("members", "key", "size")
+    bits = min(MOST_BITS, max(FEWEST_BITS, (narrow.count() // IN_BUCKET).bit_length()))
+    bucket = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int")
+    rows, narrow = rows.withColumn("bucket", bucket), narrow.withColumn("bucket", bucket)
     hist = written(narrow.groupBy("members", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     patterns = hist.groupBy("members").agg(F.sum("size").alias("size")).orderBy("members").limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
@@ -151,7 +155,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         rest = 0 if times == REPEATS else round(words - times * p["size"])
         plan.append((p.members, len(plan), times, rest, sum(sizes[s] for s in own), float(sum(quota[s] for s in own))))
     table = spark.createDataFrame(plan, "members string, pattern int, times int, rest long, source_size long, target double")
-    marks, chosen = _chosen(narrow, hist, table)
+    marks, chosen = _chosen(narrow, hist, table, 1 << bits)
     placed = rows.join(F.broadcast(marks), "members")
     # only rows of these buckets and sizes can have a match; the others are not shuffled
     asked = F.col("bucket").between(F.col("cut"), F.col("until")) & ((F.col("bucket") <= F.col("last")) | (F.col("size") < F.col("bound")))
@@ -164,7 +168,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
-def _chosen(narrow: DataFrame, hist: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _chosen(narrow: DataFrame, hist: DataFrame, plan: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """The plan with marks, and (pattern, key, chosen) of the documents taken from the first cut on.
 
     All of a bucket before ``cut`` are taken. Taken ones after it are in buckets to
@@ -174,7 +178,7 @@ def _chosen(narrow: DataFrame, hist: DataFrame, plan: DataFrame) -> tuple[DataFr
     """
     spark = plan.sparkSession
     own = plan.select("members", "pattern", "rest")
-    first = written(_cuts(hist.join(F.broadcast(own), "members"), EDGE))
+    first = written(_cuts(hist.join(F.broadcast(own), "members"), EDGE, buckets))
     at_cut = narrow.join(F.broadcast(own.join(first, "pattern")), "members").filter("bucket between cut and last")
     at_cut = at_cut.groupBy("pattern", "bucket", "key", "room").agg(F.sum("size").alias("size"))
     steps = [written(at_cut.groupBy("pattern").applyInPandas(_fill, _FILLED))]
@@ -188,14 +192,14 @@ def _chosen(narrow: DataFrame, hist: DataFrame, plan: DataFrame) -> tuple[DataFr
             fits = written(fits.groupBy("pattern", "bucket", "key").agg(F.sum("size").alias("size")))
         left = fits.join(state, "pattern").filter("bucket > after and size <= rest").drop("after")
         sums = left.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        cuts = written(_cuts(sums, LATER))
+        cuts = written(_cuts(sums, LATER, buckets))
         placed = left.join(F.broadcast(cuts), "pattern")
         whole = placed.filter("bucket < cut").select("pattern", "bucket", "key", "size", F.lit(True).alias("chosen"), "room")
         filled = placed.filter("bucket between cut and last").select("pattern", "bucket", "key", "size", "room").groupBy("pattern").applyInPandas(_fill, _FILLED)
         steps.append(written(whole.unionByName(filled)))
         # room is what was left at the cut, so rows of whole buckets do not count against it
         rooms |= _rooms(steps[-1].join(F.broadcast(cuts.select("pattern", "cut")), "pattern").withColumn("chosen", F.expr("chosen and bucket >= cut")))
-        after = {r.pattern: (r["last"], rooms[r.pattern]) for r in cuts.collect() if r["last"] < BUCKETS and rooms[r.pattern] > 0}
+        after = {r.pattern: (r["last"], rooms[r.pattern]) for r in cuts.collect() if r["last"] < buckets and rooms[r.pattern] > 0}
     taken = steps[0]
     for step in steps[1:]:
         taken = taken.unionByName(step)
@@ -209,14 +213,14 @@ def _chosen(narrow: DataFrame, hist: DataFrame, plan: DataFrame) -> tuple[DataFr
     until = taken.groupBy("pattern").agg(F.max("bucket").alias("until"))
     bound = spark.createDataFrame([(p, 2 * room) for p, room in bounds.items()], "pattern int, bound long")
     marks = plan.join(first.drop("room"), "pattern", "left").join(until, "pattern", "left").join(bound, "pattern", "left")
-    marks = marks.fillna({"cut": BUCKETS, "last": BUCKETS, "until": -1, "bound": 0})
+    marks = marks.fillna({"cut": buckets, "last": buckets, "until": -1, "bound": 0})
     return written(marks), taken.select("pattern", "key", F.lit(True).alias("chosen"))
 
 
-def _cuts(sums: DataFrame, edge: int) -> DataFrame:
+def _cuts(sums: DataFrame, edge: int, buckets: int) -> DataFrame:
     """pattern, the buckets, cut to last, in which each pattern's rest is met, and the room left at their start.
 
-    That is one bucket, and as many more as it takes to choose from ``edge`` documents. If all fit, both are BUCKETS,
+    That is one bucket, and as many more as it takes to choose from ``edge`` documents. If all fit, both are ``buckets``,
     and room is what they leave.
     """
     own = Window.partitionBy("pattern").orderBy("bucket")
@@ -226,7 +230,7 @@ def _cuts(sums: DataFrame, edge: int) -> DataFrame:
     first = met.filter(F.col("past") < edge).groupBy("pattern").agg(F.min_by(room, "bucket").alias("at"), F.max("bucket").alias("last"))
     total = sums.groupBy("pattern").agg((F.first("rest") - F.sum("size")).alias("spare"))
     return total.join(first, "pattern", "left").select(
-        "pattern", F.coalesce("at.bucket", F.lit(BUCKETS)).alias("cut"), F.coalesce("last", F.lit(BUCKETS)).alias("last"), F.coalesce("at.room", "spare").alias("room")
+        "pattern", F.coalesce("at.bucket", F.lit(buckets)).alias("cut"), F.coalesce("last", F.lit(buckets)).alias("last"), F.coalesce("at.room", "spare").alias("room")
     )
 
 
