@@ -7,6 +7,7 @@ header, and owns the records that start in its range, wherever they end.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 import zlib
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map, attach_groups, shared_folder, written
+from callgrain.llm._shared import arrow_map, attach_groups, remove, shared_folder, written
 
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
@@ -28,8 +29,13 @@ READ = 1 << 20
 LEAST = 100
 
 
+#: Names under which Spark knows stores, and those that tasks open files by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def record(kind: str, fields: dict[str, str], payload: bytes) -> bytes:
@@ -54,7 +60,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     was lost or run twice leaves only files that nobody lists.
     """
     spark = pages.sparkSession
-    folder = folder or shared_folder(spark)
+    if not folder:  # the library's own, which goes when the interpreter ends
+        atexit.register(remove, spark, folder := shared_folder(spark))
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -103,16 +110,22 @@ class _Source:
 
 def _member(source: _Source) -> tuple[bytes, int] | None:
     """The member at the start of ``source`` and its length, or None if no WARC record starts there."""
-    pull, parts, head, at = zlib.decompressobj(31), [], b"", 0
+    pull, parts, head, at, rest = zlib.decompressobj(31), [], b"", 0, b""
     while not pull.eof:
-        if at >= len(source.held) and not source.fill():
-            return None
-        piece = source.held[at : at + READ]
+        if not rest:
+            if at >= len(source.held) and not source.fill():
+                parts.append(pull.flush())  # what was read, but not given out yet
+                if not pull.eof:
+                    return None
+                break
+            rest = source.held[at : at + READ]
+            at += len(rest)
         try:
-            parts.append(pull.decompress(piece))
+            # little is inflated until the start is judged, so that a false magic can't blow up
+            parts.append(pull.decompress(rest, READ if head == _VERSION else 64))
         except zlib.error:
             return None
-        at += len(piece)
+        rest = pull.unconsumed_tail
         if len(head) < len(_VERSION):
             head = (head + parts[-1])[: len(_VERSION)]
             if not _VERSION.startswith(head):
