@@ -50,11 +50,11 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe when executors go."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
@@ -137,7 +137,7 @@ def bitmap_bytes(slots: DataFrame, bits: int) -> np.ndarray:
     """The same as one array of ``bits / 8`` bytes on the driver, to be broadcast."""
     out = np.zeros(bits // 8, np.uint8)
     step = BITMAP_BITS // 8
-    for row in bitmap_table(slots).toLocalIterator():
+    for row in bitmap_table(slots).collect():  # as many bytes as the filter has
         out[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(row.bits, np.uint8)
     return out
 
