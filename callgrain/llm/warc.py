@@ -34,8 +34,8 @@ SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    scheme, _, rest = uri.partition(":")
-    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
 
 
 def record(kind: str, fields: dict[str, str], payload: bytes) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,23 +18,32 @@ def clip01(x: Column) -> Column:
 
 
 def calibrate(scores: DataFrame, calibrators: DataFrame) -> DataFrame:
-    """p = sigmoid(a * score + b); unknown names are clipped to [0, 1]. Calibrators are a row a detector."""
-    known = scores.join(F.broadcast(calibrators), "name", "left")
-    return known.withColumn("p", F.when(F.col("a").isNotNull(), sigmoid(F.col("a") * F.col("score") + F.col("b"))).otherwise(clip01(F.col("score")))).drop("a", "b")
+    """p = sigmoid(a * score + b), or the calibrator's constant; unknown names are clipped to [0, 1]. Calibrators are a row a detector."""
+    if "constant" not in calibrators.columns:
+        calibrators = calibrators.withColumn("constant", F.lit(None).cast("double"))
+    known = scores.join(F.broadcast(calibrators.select("name", "a", "b", "constant")), "name", "left")
+    fitted = F.when(F.col("a").isNotNull(), sigmoid(F.col("a") * F.col("score") + F.col("b")))
+    return known.withColumn("p", F.coalesce(fitted, "constant", clip01(F.col("score")))).drop("a", "b", "constant")
 
 
 def with_context(windows: DataFrame, context: DataFrame) -> DataFrame:
-    """Adds each call's own scores to its windows; a window's score of the same name counts instead."""
-    each = windows.select("call_id", "win_ix").distinct().join(context, "call_id")
-    added = each.join(windows, ["call_id", "win_ix", "name"], "left_anti")
-    return windows.unionByName(added.select(*windows.columns))
+    """Adds each call's own scores to its windows; a window's score of the same name counts instead.
+
+    A window's scores become a map, and the call's map is added to it: one grouping and one join.
+    """
+    as_map = F.map_from_entries(F.collect_list(F.struct("name", "p")))
+    own = windows.groupBy("call_id", "win_ix").agg(as_map.alias("own"))
+    call = context.groupBy("call_id").agg(as_map.alias("call"))
+    added = F.map_filter("call", lambda k, _: ~F.map_contains_key("own", k))
+    every = own.join(call, "call_id", "left").withColumn("every", F.when(F.col("call").isNull(), F.col("own")).otherwise(F.map_concat("own", added)))
+    return every.select("call_id", "win_ix", F.explode("every").alias("name", "p")).select(*windows.columns)
 
 
 def combine(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean over the detectors that have a weight; else the plain mean, else 0.5."""
     w = scores.join(F.broadcast(weights), "name", "left")
     weighted = F.sum(F.col("w") * F.col("p")) / F.sum(F.when(F.col("w").isNotNull(), F.col("w")))
-    return w.groupBy("call_id", "win_ix").agg(F.coalesce(weighted, F.avg("p"), F.lit(0.5)).alias("fused"))
+    return w.groupBy("call_id", "win_ix").agg(clip01(F.coalesce(weighted, F.avg("p"), F.lit(0.5))).alias("fused"))
 
 
 def guard(fused: DataFrame, flags: DataFrame) -> DataFrame:
@@ -52,9 +62,18 @@ def ema(values: Column, alpha: float = 0.4) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), values[0], lambda e, s: alpha * s + (1 - alpha) * e)
 
 
-def ema_trace(values: Column, alpha: float = 0.4) -> Column:
-    step = lambda out, s: F.array_append(out, F.when(F.size(out) == 0, s).otherwise(alpha * s + (1 - alpha) * F.element_at(out, -1)))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+def ema_trace(fused: DataFrame, alpha: float = 0.4, value: str = "fused") -> DataFrame:
+    """(call_id, step, smoothed): every smoothed value of each call, in one pass over its windows in order."""
+
+    def trace(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, e, out = rows.sort_values("win_ix"), None, []
+        for s in rows[value]:
+            e = s if e is None else alpha * s + (1 - alpha) * e
+            out.append(e)
+        return pd.DataFrame({"call_id": rows.call_id.to_numpy(), "step": range(len(out)), "smoothed": out})
+
+    kind = fused.schema["call_id"].dataType.simpleString()
+    return fused.select("call_id", "win_ix", value).groupBy("call_id").applyInPandas(trace, f"call_id {kind}, step long, smoothed double")
 
 
 def state(score: Column, green: float, red: float) -> Column:
@@ -62,23 +81,28 @@ def state(score: Column, green: float, red: float) -> Column:
 
 
 def confidence(score: Column, now: Column, green: float, red: float) -> Column:
-    """How far in its state a score is."""
-    middle = F.least(score - green, red - score) / ((red - green) / 2)
-    far = F.when(now == "RED", 0.5 + 0.5 * (score - red) / (1 - red)).when(now == "GREEN", 0.5 + 0.5 * (green - score) / green).otherwise(0.5 + 0.5 * middle)
-    return clip01(far)
+    """The score itself when RED, what it lacks to 1 when GREEN, else half and the distance from the nearer threshold."""
+    margin = F.least(score - green, red - score) / max(red - green, 1e-6)
+    return clip01(F.when(now == "RED", score).when(now == "GREEN", 1 - score).otherwise(0.5 + margin))
 
 
-def verdicts(fused: DataFrame, green: float, red: float) -> DataFrame:
+def verdicts(fused: DataFrame, green: float, red: float, benign: DataFrame | None = None) -> DataFrame:
+    """(call_id, score, state, confidence); calls in ``benign`` (call_id, benign) never go beyond CHALLENGE."""
     score = ordered(fused).select("call_id", ema(F.col("s")).alias("score"))
     now = state(F.col("score"), green, red)
-    return score.select("call_id", "score", now.alias("state"), confidence(F.col("score"), now, green, red).alias("confidence"))
+    if benign is not None:
+        score = score.join(benign, "call_id", "left")
+        now = F.when(F.coalesce("benign", F.lit(False)) & (now == "RED"), "CHALLENGE").otherwise(now)
+    rows = score.withColumn("state", now)
+    return rows.select("call_id", "score", "state", confidence(F.col("score"), F.col("state"), green, red).alias("confidence"))
 
 
 def top_reasons(scores: DataFrame, weights: DataFrame, k: int = 3) -> DataFrame:
-    """The k detectors with the largest weight * distance from 0.5, as text."""
-    mean = scores.groupBy("call_id", "name").agg(F.avg("p").alias("mean_p")).join(F.broadcast(weights), "name")
-    pull = mean.withColumn("pull", F.round(F.col("w") * F.abs(F.col("mean_p") - 0.5), 9))
+    """The k detectors with the largest weight * distance of the mean from 0.5, with their means; without a weight it is 0."""
+    mean = scores.groupBy("call_id", "name").agg(F.avg("p").alias("mean_p")).join(F.broadcast(weights), "name", "left")
+    pull = mean.withColumn("pull", F.round(F.coalesce("w", F.lit(0.0)) * F.abs(F.col("mean_p") - 0.5), 9))
     own = Window.partitionBy("call_id").orderBy(F.desc("pull"), "name")
     top = pull.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= k)
-    names = F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"])
-    return top.groupBy("call_id").agg(F.concat_ws(", ", names).alias("reason"))
+    said = F.struct("r", F.format_string("%s=%.2f", F.col("name"), F.col("mean_p")).alias("said"))
+    texts = F.transform(F.array_sort(F.collect_list(said)), lambda x: x["said"])
+    return top.groupBy("call_id").agg(F.concat(F.lit("top detectors: "), F.array_join(texts, ", ")).alias("reason"))

@@ -10,12 +10,41 @@ def _call():
     return Window.partitionBy("call_id")
 
 
+#: Seconds of silence that part two turns.
+MERGE_GAP = 0.35
+
+
 def adaptive_mask(sig: DataFrame, quantile: float = 0.2, above: float = 10.0) -> DataFrame:
     """Speech where the level is more than ``above`` over the call's low quantile."""
     low = F.percentile("x", F.lit(quantile)).over(_call())
     return sig.withColumn("speech", F.col("x") > low + above)
 
 
+def speech_mask(frames: DataFrame, flattest: float = 0.5, crossings: tuple[float, float] = (0.005, 0.45)) -> DataFrame:
+    """The same over (call_id, i, rms_db, flatness, zcr), where the spectrum is not flat and signs change as in speech."""
+    mask = adaptive_mask(frames.withColumn("x", F.col("rms_db")))
+    return mask.withColumn("speech", F.col("speech") & (F.col("flatness") < flattest) & F.col("zcr").between(*crossings)).drop("x")
+
+
+def chosen_mask(context: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(call_id, i, speech): the first mask of a call if it has any speech, else the second."""
+    any_speech = context.withColumn("any", F.bool_or("speech").over(_call()))
+    other = fallback.select("call_id", "i", F.col("speech").alias("other"))
+    return any_speech.join(other, ["call_id", "i"]).select("call_id", "i", F.when(F.col("any"), F.col("speech")).otherwise(F.col("other")).alias("speech"))
+
+
+def to_samples(mask: DataFrame, frame: int) -> DataFrame:
+    """(call_id, i, speech) of frames as one of samples: frames explode, no range join."""
+    at = F.explode(F.sequence(F.col("i") * frame, (F.col("i") + 1) * frame - 1)).alias("i")
+    return mask.select("call_id", "speech", at).select("call_id", "i", "speech")
+
+
+def numbered(segments: DataFrame) -> DataFrame:
+    """(call_id, turn_ix, start_s, end_s)."""
+    ix = F.row_number().over(_call().orderBy("start_s")) - 1
+    return segments.select("call_id", ix.cast("long").alias("turn_ix"), "start_s", "end_s")
+
+
 def fallback_mask(sig: DataFrame, floor: float = -45.0, above: float = 6.0, flat: float = 6.0) -> DataFrame:
     """Speech over an absolute floor, or over the low quantile if the call is not flat."""
     low, high = F.percentile("x", F.lit(0.2)).over(_call()), F.percentile("x", F.lit(0.95)).over(_call())

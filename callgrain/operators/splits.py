@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callgrain.operators.ranked import hash_rank
+
 
 def md5_mod100(key: Column) -> Column:
     """The 128-bit digest modulo 100, from its two halves: 2^64 leaves 16."""
@@ -42,17 +44,34 @@ def existing(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
 
 def other_group(rows: DataFrame, id_col: str, group_col: str) -> DataFrame:
-    """For each row a partner from the next group in order, by position in it: an equi-join, not a theta join."""
-    groups = rows.select(group_col).distinct()
+    """For each row a partner from the next group in order, by position in it: an equi-join, not a theta join.
+
+    Positions are those of the ids' hashes, so a hot group is ordered by several tasks. What is
+    ordered as a whole are the distinct groups.
+    """
+    ranked = hash_rank(rows.select(id_col, group_col), [group_col], F.col(id_col).cast("string"), id_col).withColumn("r", F.col("r") - 1)
+    sizes = rows.groupBy(group_col).agg(F.count("*").alias("n"))
     order = Window.orderBy(group_col)
-    last = groups.agg(F.min(group_col).alias("first_group"))
-    nxt = groups.withColumn("partner_group", F.lead(group_col).over(order)).join(F.broadcast(last)).withColumn("partner_group", F.coalesce("partner_group", "first_group")).drop("first_group")
-    own = Window.partitionBy(group_col).orderBy(id_col)
-    ranked = rows.select(id_col, group_col, (F.row_number().over(own) - 1).alias("r"))
-    sizes = ranked.groupBy(F.col(group_col).alias("partner_group")).agg(F.count("*").alias("n"))
-    wanted = ranked.join(F.broadcast(nxt.join(sizes, "partner_group")), group_col).withColumn("r", F.col("r") % F.col("n"))
+    first = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(first))
+    partners = sizes.select(group_col, nxt(group_col).alias("partner_group"), nxt("n").alias("partner_n"))
+    wanted = ranked.select(id_col, group_col, "r").join(partners, group_col).filter(F.col(group_col) != F.col("partner_group"))
+    wanted = wanted.withColumn("r", F.col("r") % F.col("partner_n"))
     there = ranked.select(F.col(id_col).alias("partner_id"), F.col(group_col).alias("partner_group"), "r")
-    return wanted.join(there, ["partner_group", "r"]).filter(F.col(group_col) != F.col("partner_group")).select(id_col, "partner_id", "partner_group")
+    return wanted.join(there, ["partner_group", "r"]).select(id_col, "partner_id", "partner_group")
+
+
+def stratified(rows: DataFrame, index: Column) -> DataFrame:
+    """Adds ``want``: of each ten in order, eight train, one dev, one test."""
+    at = F.pmod(index, F.lit(10))
+    return rows.withColumn("want", F.when(at < 8, "train").when(at == 8, "dev").otherwise("test"))
+
+
+def seventy_thirty(rows: DataFrame, by: list[str], key: Column, tie: str, least: int = 10) -> DataFrame:
+    """Adds ``part``: train for 70 % of each group in a hashed order, else holdout; all of a small group are both."""
+    ranked = hash_rank(rows, by, key, tie)
+    part = F.when(F.col("n") < least, "in-sample").when(F.col("r") <= F.greatest(F.lit(1), F.round(0.7 * F.col("n"))), "train").otherwise("holdout")
+    return ranked.withColumn("part", part).drop("r", "n")
 
 
 def hash_limit(rows: DataFrame, key: Column, n: int) -> DataFrame:

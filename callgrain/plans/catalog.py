@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrain.plans import corpus, features, live, scores, signal  # noqa: F401  they register their queries
+from callgrain.plans import calls, corpus, features, live, reports, scores, signal  # noqa: F401  they register their queries
 from callgrain.plans.registry import QUERIES, SQL
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callgrain.operators import biometrics as bio
+from callgrain.operators import conversation as talk
 from callgrain.operators import splits as sl
 from callgrain.plans.registry import query
 from callgrain.sources import tables as src
@@ -60,7 +60,7 @@ def q_holdout_except(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT source, coalesce(lead(source) OVER (ORDER BY source), first_value(source) OVER (ORDER BY source)) AS nxt FROM (SELECT DISTINCT source FROM documents)),
-r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
 s AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
 SELECT a.doc_id, b.doc_id AS partner_id, b.source AS partner_group FROM r a JOIN g ON a.source = g.source JOIN s ON s.source = g.nxt JOIN r b ON b.source = g.nxt AND b.r = a.r % s.n WHERE a.source <> b.source""")
 def q_other_speaker(spark, sf_dir):
@@ -77,12 +77,9 @@ def q_disjoint_or_paired(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels)
-SELECT doc_id, CASE WHEN n < 10 THEN 'in-sample' WHEN r <= 0.7 * n THEN 'train' ELSE 'holdout' END AS part FROM r""")
+SELECT doc_id, CASE WHEN n < 10 THEN 'in-sample' WHEN r <= greatest(1, round(0.7 * n)) THEN 'train' ELSE 'holdout' END AS part FROM r""")
 def q_user_split(spark, sf_dir):
-    own = Window.partitionBy("quality")
-    r = F.row_number().over(own.orderBy(F.md5(_key().cast("binary")), "doc_id"))
-    rows = src.table(spark, sf_dir, "labels").select("doc_id", r.alias("r"), F.count("*").over(own).alias("n"))
-    return rows.select("doc_id", F.when(F.col("n") < 10, "in-sample").when(F.col("r") <= 0.7 * F.col("n"), "train").otherwise("holdout").alias("part"))
+    return sl.seventy_thirty(src.table(spark, sf_dir, "labels").select("doc_id", "quality"), ["quality"], _key(), "doc_id").select("doc_id", "part")
 
 
 @query("""WITH u AS (SELECT doc_id FROM labels WHERE toxic = 1), a AS (SELECT doc_id FROM labels WHERE toxic = 0 ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100)
@@ -103,9 +100,11 @@ def q_qc(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(d, 2).alias("duration_s"), d.between(2, 120).alias("accepted"), F.concat_ws(";", F.filter(warnings, lambda w: w.isNotNull())).alias("warnings"))
 
 
-@query("SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source")
+@query("SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')) AS other FROM documents GROUP BY source")
 def q_source_pivot(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count().na.fill(0)
+    shown = ["de", "en", "es", "fr"]
+    lang = F.when(F.col("lang").isin(*shown), F.col("lang")).otherwise("other")
+    return _docs(spark, sf_dir).select("source", lang.alias("lang")).groupBy("source").pivot("lang", [*shown, "other"]).count().na.fill(0, [*shown, "other"])
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 50")
@@ -141,11 +140,16 @@ def q_cosine_to_prob(spark, sf_dir):
     return _cosines(spark, sf_dir).select("vec_id", *[F.round(bio.identity_probability(F.col("cos"), c), 6).alias(c) for c in bio.CHANNELS])
 
 
-@query(f"""WITH {COS}, s AS (SELECT vec_id, label, cos, lag(cos) OVER (PARTITION BY label ORDER BY vec_id) AS c0 FROM k)
-SELECT label, round(max(abs(cos - c0)), 6) AS drift FROM s GROUP BY label""")
+@query("""WITH t AS (SELECT vec_id // 25 AS call_id, vec_id AS turn_ix, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT call_id, count(*) AS n FROM t GROUP BY call_id),
+c AS (SELECT call_id, label FROM t JOIN n USING (call_id) GROUP BY call_id, label HAVING count(*) >= greatest(2, ceil(0.2 * any_value(n)))),
+p AS (SELECT *, lag(label) OVER w AS label0, lag(e) OVER w AS e0 FROM t WINDOW w AS (PARTITION BY call_id ORDER BY turn_ix)),
+d AS (SELECT call_id, max(1 - list_cosine_similarity(e, e0)) AS drift FROM p JOIN c USING (call_id, label) WHERE label = label0 GROUP BY call_id)
+SELECT call_id, round(coalesce(drift, 0), 6) AS drift FROM n LEFT JOIN d USING (call_id)""")
 def q_identity_drift(spark, sf_dir):
-    rows = _cosines(spark, sf_dir).withColumn("c0", F.lag("cos").over(Window.partitionBy("label").orderBy("vec_id")))
-    return rows.groupBy("label").agg(F.round(F.max(F.abs(F.col("cos") - F.col("c0"))), 6).alias("drift"))
+    rows = src.spectrum_input(spark, sf_dir)
+    turns = rows.select(F.floor(F.col("vec_id") / 25).alias("call_id"), F.col("vec_id").alias("turn_ix"), F.col("label").alias("cluster"), "frame")
+    return talk.identity_drift(turns).select("call_id", F.round("drift", 6).alias("drift"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 100 > 90 THEN 'EXPIRED' WHEN value / 10 < 3 AND event_id % 3 > 0 THEN 'RETRY' WHEN value / 10 < 3 THEN 'FAIL'
@@ -169,10 +173,10 @@ def q_video_id(spark, sf_dir):
     return src.table(spark, sf_dir, "pages").select("page_id", F.when(found != "", F.concat(F.lit("page_"), found)).otherwise(F.concat(F.lit("src_"), F.substring(F.sha1(F.col("url").cast("binary")), 1, 12))).alias("video_id"))
 
 
-@query("SELECT page_id, trim(url) AS url FROM pages WHERE trim(url) <> '' AND trim(url) NOT LIKE '%#%'")
+@query("SELECT page_id, trim(url) AS url FROM pages WHERE trim(url) <> '' AND trim(url) NOT LIKE '#%'")
 def q_url_filter(spark, sf_dir):
     url = F.trim("url")
-    return src.table(spark, sf_dir, "pages").select("page_id", url.alias("url")).filter((F.col("url") != "") & ~F.col("url").contains("#"))
+    return src.table(spark, sf_dir, "pages").select("page_id", url.alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR)::INT, 1) AS new FROM events),

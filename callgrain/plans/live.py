@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from callgrain.plans.registry import query
 from callgrain.streaming import operators as op
 
-
-def _name() -> str:
-    return "live_" + uuid.uuid4().hex
+HOURS = """w AS (SELECT user_id, value, ts, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start_ts FROM events)"""
 
 
-@query("""WITH w AS (SELECT user_id, value, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start_ts FROM events)
-SELECT user_id, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY user_id, start_ts""")
+@query(f"""WITH {HOURS} SELECT user_id, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY user_id, start_ts""")
 def q_stream_windows(spark, sf_dir):
-    rows = op.collected(op.sliding(op.events_stream(spark, sf_dir), "2 hours", "1 hour", "1 hour"), "complete", _name())
+    rows = op.collected(op.sliding(op.events_stream(spark, sf_dir, ended=True), "2 hours", "1 hour", "1 hour"), "append")
     return rows.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "n", F.round("total", 2).alias("total"))
 
 
 @query("""WITH s AS (SELECT user_id AS call_id, list(value / (1 + value) ORDER BY event_id) AS s FROM events GROUP BY user_id)
 SELECT call_id, len(s) AS n, round(list_reduce(s, lambda e, x: 0.4 * x + 0.6 * e), 6) AS smoothed FROM s""")
 def q_stream_ema(spark, sf_dir):
-    rows = op.collected(op.smoothed(op.events_stream(spark, sf_dir)), "update", _name())
+    rows = op.collected(op.smoothed(op.events_stream(spark, sf_dir)), "update")
     last = rows.groupBy("call_id").agg(F.max_by(F.struct("n", "smoothed"), "n").alias("last"))
     return last.select("call_id", "last.n", F.round("last.smoothed", 6).alias("smoothed"))
 
 
+@query("""WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR)::INT, 1) AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, s""")
+def q_stream_sessions(spark, sf_dir):
+    return op.collected(op.sessions(op.events_stream(spark, sf_dir, ended=True), "6 hours", "1 hour"), "append").select("user_id", "n")
+
+
 @query()
 def q_stream_challenges(spark, sf_dir):
-    return op.collected(op.challenges(op.events_stream(spark, sf_dir)), "update", _name())
+    return op.collected(op.challenges(op.events_stream(spark, sf_dir)), "update")
+
+
+@query("SELECT event_id, round(value / (1 + value) * 2, 6) AS score, 2 AS version FROM events")
+def q_stream_hot_swap(spark, sf_dir):
+    """Scores by the version that is active when a batch starts; here the second one is, before the stream runs."""
+    versions = {1: 1.0, 2: 2.0}
+    rows = op.hot_swapped(op.events_stream(spark, sf_dir), lambda: 2, lambda n: lambda batch: batch.withColumn("score", F.col("value") / (1 + F.col("value")) * versions[n]))
+    return rows.select("event_id", F.round("score", 6).alias("score"), "version")

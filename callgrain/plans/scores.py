@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from callgrain.operators import fusion as fu
 from callgrain.operators import metrics as me
-from callgrain.operators import spectra as sp
 from callgrain.plans.registry import query
 from callgrain.sources import tables as src
 
@@ -95,43 +94,32 @@ def q_ema(spark, sf_dir):
 t AS (SELECT call_id, s, unnest(range(1, len(s) + 1)) AS k FROM s)
 SELECT call_id, k - 1 AS step, round(list_reduce(s[1:k], lambda e, x: 0.4 * x + 0.6 * e), 6) AS smoothed FROM t""")
 def q_ema_trace(spark, sf_dir):
-    trace = fu.ordered(_guarded(spark, sf_dir)).select("call_id", F.posexplode(fu.ema_trace(F.col("s"))).alias("step", "smoothed"))
-    return trace.select("call_id", F.col("step").cast("long"), F.round("smoothed", 6).alias("smoothed"))
+    return fu.ema_trace(_guarded(spark, sf_dir)).withColumn("smoothed", F.round("smoothed", 6))
 
 
 @query(f"""WITH {EMA}, v AS (SELECT *, CASE WHEN score >= {RED} - 1e-9 THEN 'RED' WHEN score >= {GREEN} - 1e-9 THEN 'CHALLENGE' ELSE 'GREEN' END AS state FROM e)
-SELECT call_id, state, round(score, 6) AS score, round(least(greatest(CASE state WHEN 'RED' THEN 0.5 + 0.5 * (score - {RED}) / (1 - {RED}) WHEN 'GREEN' THEN 0.5 + 0.5 * ({GREEN} - score) / {GREEN}
-ELSE 0.5 + 0.5 * least(score - {GREEN}, {RED} - score) / (({RED} - {GREEN}) / 2) END, 0), 1), 5) AS confidence FROM v""")
+SELECT call_id, state, round(score, 6) AS score, round(least(greatest(CASE state WHEN 'RED' THEN score WHEN 'GREEN' THEN 1 - score
+ELSE 0.5 + least(score - {GREEN}, {RED} - score) / ({RED} - {GREEN}) END, 0), 1), 5) AS confidence FROM v""")
 def q_verdict(spark, sf_dir):
     rows = fu.verdicts(_guarded(spark, sf_dir), GREEN, RED)
     return rows.select("call_id", "state", F.round("score", 6).alias("score"), F.round("confidence", 5).alias("confidence"))
 
 
-@query(f"""WITH {FUSE}, m AS (SELECT call_id, name, round(any_value(w) * abs(avg(p) - 0.5), 9) AS pull FROM every JOIN wt USING (name) GROUP BY ALL),
+@query(f"""WITH {FUSE}, m AS (SELECT call_id, name, avg(p) AS m, round(coalesce(any_value(w), 0) * abs(avg(p) - 0.5), 9) AS pull FROM every LEFT JOIN wt USING (name) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY pull DESC, name) AS r FROM m)
-SELECT call_id, string_agg(name, ', ' ORDER BY r) AS reason FROM r WHERE r <= 3 GROUP BY call_id""")
+SELECT call_id, 'top detectors: ' || string_agg(format('{{}}={{:.2f}}', name, m), ', ' ORDER BY r) AS reason FROM r WHERE r <= 3 GROUP BY call_id""")
 def q_reason_topk(spark, sf_dir):
     return fu.top_reasons(_every(spark, sf_dir), _weights(spark))
 
 
 @query(f"""WITH {SCORES} SELECT call_id, win_ix, round(coalesce(max(score) FILTER (WHERE name = 'click'), 0.5), 6) AS click, round(coalesce(max(score) FILTER (WHERE name = 'view'), 0.5), 6) AS "view",
-round(coalesce(max(score) FILTER (WHERE name = 'purchase'), 0.5), 6) AS purchase FROM scores GROUP BY ALL""")
+round(coalesce(max(score) FILTER (WHERE name = 'purchase'), 0.5), 6) AS purchase, round(coalesce(max(score) FILTER (WHERE name = 'error'), 0.5), 6) AS error FROM scores GROUP BY ALL""")
 def q_pivot_impute(spark, sf_dir):
-    names = ["click", "view", "purchase"]
+    names = ["click", "view", "purchase", "error"]
     wide = src.window_scores(spark, sf_dir).groupBy("call_id", "win_ix").pivot("name", names).agg(F.max("score"))
     return wide.select("call_id", "win_ix", *[F.round(F.coalesce(n, F.lit(0.5)), 6).alias(n) for n in names])
 
 
-@query(f"""WITH lp AS (SELECT vec_id, k.range AS bin, pow(list_sum(list_transform(embedding, lambda x, t: x::DOUBLE * cos(2 * pi() * k.range * (t - 1) / 64))), 2) + pow(list_sum(list_transform(embedding, lambda x, t: x::DOUBLE * sin(2 * pi() * k.range * (t - 1) / 64))), 2) AS p FROM embeddings, range(33) k),
-f AS (SELECT vec_id, sum(p) FILTER (WHERE bin < 4) / (sum(p) + 1e-12) AS lo, sum(p) FILTER (WHERE bin >= 16 AND bin < 32) / (sum(p) + 1e-12) AS hi, exp(avg(ln(p + 1e-12))) / (avg(p) + 1e-12) AS flat FROM lp GROUP BY vec_id)
-SELECT vec_id, round(1 / (1 + exp(-10 * (0.4 * lo + 0.6 * flat - 0.5))), 6) AS bandwidth, round(1 / (1 + exp(-10 * (0.35 * (1 - lo) + 0.65 * (1 - hi) - 0.5))), 6) AS reverb FROM f""")
-def q_rule_detectors(spark, sf_dir):
-    p = F.col("p")
-    f = sp.power(src.spectrum_input(spark, sf_dir)).select("vec_id", sp.band_ratio(p, 0, 4).alias("lo"), sp.band_ratio(p, 16, 32).alias("hi"), sp.flatness(p).alias("flat"))
-    score = lambda z: F.round(fu.sigmoid(10 * (z - 0.5)), 6)
-    return f.select("vec_id", score(0.4 * F.col("lo") + 0.6 * F.col("flat")).alias("bandwidth"), score(0.35 * (1 - F.col("lo")) + 0.65 * (1 - F.col("hi"))).alias("reverb"))
-
-
 @query("""SELECT event_id, coalesce((props->>'$.score')::DOUBLE, (props->>'$.value')::DOUBLE, (props->>'$.k')::DOUBLE) AS detail FROM events""")
 def q_details_probe(spark, sf_dir):
     details = [F.get_json_object("props", f"$.{k}").cast("double") for k in ("score", "value", "k")]
@@ -149,11 +137,11 @@ def q_roc(spark, sf_dir):
 
 @query(f"""WITH {LABELLED} SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END), 9) AS auc FROM lab p, lab n WHERE p.y = 1 AND n.y = 0""")
 def q_auc(spark, sf_dir):
-    return me.auc(src.labelled(spark, sf_dir).withColumn("g", F.lit(1)), ["g"]).select(F.round("auc", 9).alias("auc"))
+    return me.auc_of_all(src.labelled(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
 
 
 @query(f"""WITH {ROC}, t(target) AS (VALUES (0.01::DOUBLE), (0.02), (0.05), (0.2)),
-b AS (SELECT target, tpr, threshold, row_number() OVER (PARTITION BY target ORDER BY fps DESC, tps DESC, threshold) AS r FROM t JOIN rt ON fpr <= target)
+b AS (SELECT target, tpr, threshold, row_number() OVER (PARTITION BY target ORDER BY fps DESC, tps DESC, threshold) AS r FROM t JOIN rt ON fpr <= target + 1e-12)
 SELECT target, round(tpr, 9) AS hit, round(threshold, 9) AS threshold FROM b WHERE r = 1""")
 def q_hit_at_fpr(spark, sf_dir):
     rows = me.at_fpr(_roc(spark, sf_dir), [0.01, 0.02, 0.05, 0.2])
@@ -162,7 +150,7 @@ def q_hit_at_fpr(spark, sf_dir):
 
 @query(f"""WITH {ROC}, dd AS (SELECT *, fpr - (1 - tpr) AS d, row_number() OVER (ORDER BY fps, tps) AS ix FROM rt),
 l AS (SELECT *, lag(d) OVER (ORDER BY ix) AS d0, lag(fpr) OVER (ORDER BY ix) AS f0 FROM dd)
-SELECT round(CASE WHEN d0 < 0 AND d > 0 THEN f0 + (fpr - f0) * (-d0) / (d - d0) ELSE (fpr + 1 - tpr) / 2 END, 9) AS eer FROM l ORDER BY round(abs(d), 12), ix LIMIT 1""")
+SELECT round(CASE WHEN d0 * d < 0 THEN f0 + (fpr - f0) * (-d0) / (d - d0) ELSE (fpr + 1 - tpr) / 2 END, 9) AS eer FROM l ORDER BY round(abs(d), 12), ix LIMIT 1""")
 def q_eer(spark, sf_dir):
     return me.eer(_roc(spark, sf_dir)).select(F.round("eer", 9).alias("eer"))
 
@@ -192,16 +180,7 @@ def q_label_accuracy(spark, sf_dir):
 @query(f"""WITH {LABELLED}, s AS (SELECT lang, score, y FROM lab), pos AS (SELECT score FROM s WHERE y = 1), neg AS (SELECT lang, score FROM s WHERE y = 0)
 SELECT neg.lang, round(avg(CASE WHEN pos.score > neg.score THEN 1.0 WHEN pos.score = neg.score THEN 0.5 ELSE 0 END), 9) AS auc FROM neg, pos GROUP BY neg.lang""")
 def q_slice_auc(spark, sf_dir):
-    """Each slice's negatives against all positives, by ranks."""
-    rows = src.labelled(spark, sf_dir)
-    langs = rows.filter("y = 0").select("lang").distinct()
-    positives = rows.filter("y = 1").groupBy("score").agg(F.count("*").alias("n"))  # distinct scores: 97 here
-    each = positives.crossJoin(F.broadcast(langs)).select("lang", "score", F.lit(1).alias("y"), "n")
-    negatives = rows.filter("y = 0").groupBy("lang", "score").agg(F.count("*").alias("n")).select("lang", "score", F.lit(0).alias("y"), "n")
-    both = each.unionByName(negatives).groupBy("lang", "score").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-    below = F.sum("q").over(Window.partitionBy("lang").orderBy("score")) - F.col("q")
-    won = both.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy("lang").agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auc"))
-    return won.select("lang", F.round("auc", 9).alias("auc"))
+    return me.auc_against_all_positives(src.labelled(spark, sf_dir), ["lang"]).select("lang", F.round("auc", 9).alias("auc"))
 
 
 @query(f"WITH {LABELLED} SELECT round(quantile_cont(score, 0.1) FILTER (WHERE y = 1), 9) AS theta_red, round(quantile_cont(score, 0.95) FILTER (WHERE y = 0), 9) AS theta_green FROM lab")

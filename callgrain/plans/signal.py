@@ -22,14 +22,14 @@ TURNS = """turns AS (
     FROM (SELECT conv_id, turn, role, length(text)::DOUBLE AS n FROM conversations)))"""
 SEGS = MASK + ISLANDS + ", segs AS (SELECT call_id, first_i::DOUBLE AS start_s, (last_i + 1)::DOUBLE AS end_s FROM runs WHERE speech)"
 BIC = SIG + """, b AS (SELECT call_id, i,
-  20 * ln(var_pop(x) OVER w2 + 1e-9) - 10 * (ln(var_pop(x) OVER w0 + 1e-9) + ln(var_pop(x) OVER w1 + 1e-9)) AS bic, count(*) OVER w2 AS n
+  40 * ln(var_pop(x) OVER w2 + 1e-8) - 20 * (ln(var_pop(x) OVER w0 + 1e-8) + ln(var_pop(x) OVER w1 + 1e-8)) AS bic, count(*) OVER w2 AS n
   FROM sig WINDOW w0 AS (PARTITION BY call_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
     w1 AS (PARTITION BY call_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING),
     w2 AS (PARTITION BY call_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING)),
 bic AS (SELECT call_id, i, bic FROM b WHERE n = 40)"""
 THRESHOLD = BIC + """, low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY bic, i) AS r, count(*) OVER (PARTITION BY call_id) AS c FROM bic) WHERE r <= greatest(1, c // 2)),
-med AS (SELECT call_id, median(bic) AS m FROM low GROUP BY call_id),
-thr AS (SELECT call_id, greatest(1.0, any_value(m) + 3.0 * 1.4826 * median(abs(bic - m))) AS threshold FROM low JOIN med USING (call_id) GROUP BY call_id)"""
+med AS (SELECT call_id, median(bic) AS m FROM low GROUP BY call_id), mid AS (SELECT call_id, median(bic) AS middle FROM bic GROUP BY call_id),
+thr AS (SELECT call_id, greatest(25.0, 0.8 * 40 * 1, any_value(m) + 3.0 * 1.4826 * median(abs(bic - m))) AS threshold FROM low JOIN med USING (call_id) GROUP BY call_id)"""
 PEAKS = THRESHOLD + """, near AS (SELECT *, coalesce(lag(bic) OVER o, '-inf'::DOUBLE) AS l, coalesce(lead(bic) OVER o, '-inf'::DOUBLE) AS r FROM bic WINDOW o AS (PARTITION BY call_id ORDER BY i)),
 peaks AS (SELECT call_id, i, bic, threshold FROM near JOIN thr USING (call_id) WHERE bic > threshold AND bic >= l AND bic >= r)"""
 DFT = "lp AS (SELECT vec_id, k.range AS bin, pow(list_sum(list_transform(embedding, lambda x, t: x::DOUBLE * cos(2 * pi() * k.range * (t - 1) / 64))), 2) + pow(list_sum(list_transform(embedding, lambda x, t: x::DOUBLE * sin(2 * pi() * k.range * (t - 1) / 64))), 2) AS p FROM embeddings, range(33) k)"
@@ -150,12 +150,12 @@ def q_delta_bic(spark, sf_dir):
 
 @query(f"WITH {THRESHOLD} SELECT call_id, round(threshold, 5) AS threshold FROM thr")
 def q_bic_threshold(spark, sf_dir):
-    return cp.adaptive_threshold(_bic(spark, sf_dir), 1.0).withColumn("threshold", F.round("threshold", 5))
+    return cp.adaptive_threshold(_bic(spark, sf_dir), 40, 1).select("call_id", F.round("threshold", 5).alias("threshold"))
 
 
 def _peaks(spark, sf_dir):
     bic = _bic(spark, sf_dir)
-    return cp.peaks(bic, cp.adaptive_threshold(bic, 1.0))
+    return cp.peaks(bic, cp.adaptive_threshold(bic, 40, 1))
 
 
 @query(f"WITH {PEAKS} SELECT call_id, i, round(bic, 5) AS bic FROM peaks")
@@ -174,12 +174,12 @@ def q_refractory_peaks(spark, sf_dir):
 
 
 @query(f"""WITH {TAKEN}, s AS (SELECT call_id, count(*) AS n, max(bic / threshold) AS st FROM taken JOIN peaks USING (call_id, i) GROUP BY call_id),
-c AS (SELECT DISTINCT call_id FROM sig)
-SELECT call_id, coalesce(n, 0) AS n, round(CASE WHEN n IS NULL THEN 0.1 WHEN n = 1 THEN least(greatest(0.85 + 0.05 * least(st - 1, 2), 0.85), 0.95) ELSE 0.4 END::DOUBLE, 5) AS score FROM c LEFT JOIN s USING (call_id)""")
+c AS (SELECT DISTINCT call_id FROM sig),
+a AS (SELECT call_id, n, st, coalesce(least(greatest(1 - middle / threshold, 0), 1), 1) AS stability FROM c LEFT JOIN s USING (call_id) LEFT JOIN thr USING (call_id) LEFT JOIN mid USING (call_id))
+SELECT call_id, coalesce(n, 0) AS n, round(stability::DOUBLE, 5) AS stability, round(CASE WHEN n IS NULL AND stability >= 0.5 THEN 0.1 WHEN n = 1 THEN least(greatest(0.85 + 0.05 * least(st - 1, 2), 0.85), 0.95) ELSE 0.4 END::DOUBLE, 5) AS score FROM a""")
 def q_switch_score(spark, sf_dir):
-    found = _peaks(spark, sf_dir)
-    kept = cp.suppress(found, 8).join(found, ["call_id", "i"])
-    return cp.switch_score(kept, src.signal(spark, sf_dir).select("call_id").distinct()).select("call_id", "n", F.round("score", 5).alias("score"))
+    rows = cp.channel_switches(src.signal(spark, sf_dir), 20, 1, 8)
+    return rows.select("call_id", "n", F.round("stability", 5).alias("stability"), F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH {MASK}, b AS (SELECT call_id, i, CASE WHEN NOT speech THEN x END AS b FROM mask),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """The events as a stream: one file a trigger. Times without a zone can't carry a watermark, so they are cast."""
+def events_stream(spark: SparkSession, sf_dir: str, files: int = 1, ended: bool = False) -> DataFrame:
+    """The events as a stream: one file a trigger. Times without a zone can't carry a watermark, so they are cast.
+
+    ``ended`` adds one row of no user, long after all others: it takes the watermark past every window, so that a
+    run over what is there closes them all. Its own window stays open.
+    """
     shape = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(shape).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if ended:
+        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/end"
+        spark.range(1).select(*[F.lit("2200-01-01" if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in shape]).write.parquet(path)
+        rows = rows.unionByName(spark.readStream.schema(shape).parquet(path))
     return rows.withColumn("t", F.col("ts").cast("timestamp"))
 
 
@@ -65,8 +74,49 @@ def challenges(stream: DataFrame, retries: int = 2, need: float = 0.9, ttl_ms: i
     return scores.groupBy("call_id").applyInPandasWithState(step, "call_id long, verdict string", "left int, done string", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
-def collected(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that is there into a table in memory: for queries over test tables only."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def hot_swapped(stream: DataFrame, active: Callable[[], int], load: Callable[[int], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """What a stream's rows score under the version that ``active`` names when their batch starts; it is loaded once each time it changes."""
+    held: dict[int, Callable[[DataFrame], DataFrame]] = {}
+
+    def score(batch: DataFrame) -> DataFrame:
+        n = active()
+        if n not in held:
+            held.clear()
+            held[n] = load(n)
+        return held[n](batch).withColumn("version", F.lit(n))
+
+    return collected(stream, "append", score)
+
+
+def collected(stream: DataFrame, mode: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Runs a stream over all that is there, each batch written to the shared folder, and returns these tables.
+
+    In append mode a window leaves the state once the watermark is past its end; what is left then is closed by
+    a last, empty batch of a stream that is told its input has ended. A batch that runs twice overwrites itself.
+    """
+    spark = stream.sparkSession
+    top = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    batches: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = change(batch)
+        path = f"{top}/out/batch={number}"
+        rows.write.mode("overwrite").parquet(path)
+        if path not in batches:
+            batches.append(path)
+            shape.append(rows.schema)
+
+    shape: list = []
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(shape[0]).parquet(*batches)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session may lack it."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file:///tmp/checkpoints"
+    return top.rstrip("/")
