@@ -161,3 +161,23 @@ def protocol(segments: DataFrame, target: int) -> DataFrame:
     side = F.when(pick(F.concat(F.lit("half:"), F.col("call_id").cast("string")), 2) == 0, "direct").otherwise("relay")
     roles = F.when(F.col("_n") >= 2 * target, F.when(narrow, F.array(side))).otherwise(F.when(narrow, F.array(F.lit("direct"), F.lit("relay"))).otherwise(F.array(F.lit("relay"))))
     return rows.select(*segments.columns, F.explode(roles).alias("role"))
+
+
+def build(speakers: DataFrame, clips: DataFrame, folder: str, per_label: int, seed: int = 0, labels: list[str] = LABELS, shard: int = 0, shards: int = 1, seconds: float = 4.0) -> dict[str, int]:
+    """Makes what a plan lacks below ``folder``: WAV files, and their lines in the table ``metadata``. Counts by label.
+
+    What has both its line and its file is left out, so a build that was stopped goes on where it ended.
+    """
+    from callgrain.sources import audio, records
+
+    spark, path = speakers.sparkSession, f"{folder.rstrip('/')}/metadata"
+    devices, pairs = ([tuple(r) for r in part.collect()] for part in holdouts(spark, seed))  # two rows, and one
+    planned = profiles(plan(speakers, per_label, seed, labels, shard, shards), [d for (d,) in devices], pairs)
+    if records.exists(spark, path):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(folder)
+        there = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"))
+        planned = planned.join(records.done(spark.read.parquet(path), there), "file", "left_anti")
+    made = simulated(planned, clips, seconds)
+    records.append_new(audio.write_audio(made, folder).drop("bytes"), path)
+    rows = spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n")).collect()
+    return {r.label: r.n for r in rows}

@@ -55,7 +55,7 @@ def pcm16(calls: DataFrame) -> DataFrame:
 
 
 def write_audio(calls: DataFrame, folder: str) -> DataFrame:
-    """Writes (file, samples) as WAV below ``folder``, which all executors see; (file, bytes) of what was written.
+    """Writes (file, samples) as WAV below ``folder``, which all executors see; the other columns and ``bytes`` of what was written.
 
     A file is written under a name of its own and then moved into place, so a task that runs twice leaves whole files.
     """
@@ -75,9 +75,10 @@ def write_audio(calls: DataFrame, folder: str) -> DataFrame:
                     out.write(data)
                 place.move(draft, path)
                 sizes.append(len(data))
-            yield pd.DataFrame({"file": batch.file, "bytes": sizes})
+            yield batch.drop(columns="samples").assign(bytes=sizes)
 
-    return calls.select("file", "samples").mapInPandas(write, "file string, bytes long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calls.schema if f.name != "samples")
+    return calls.select(*[f.name for f in calls.schema if f.name != "samples"], "samples").mapInPandas(write, f"{kinds}, bytes long")
 
 
 def speakers(files: DataFrame) -> DataFrame:

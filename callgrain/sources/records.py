@@ -20,7 +20,7 @@ VOICEPRINT = "id string, embedding array<float>, meta map<string,string>"
 DIMENSIONS = 192
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path).schema  # noqa: B018  resolving the path is the test
         return True
@@ -30,7 +30,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_lines(spark: SparkSession, path: str, schema: str, must_exist: bool = False) -> DataFrame:
     """JSON lines under a schema. Malformed lines are left out; a missing file is empty, or an error if it must exist."""
-    if _exists(spark, path):
+    if exists(spark, path):
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     if must_exist:
         raise FileNotFoundError(path)
@@ -54,7 +54,7 @@ def done(written: DataFrame, files: DataFrame) -> DataFrame:
 def append_new(planned: DataFrame, path: str, key: str = "file") -> int:
     """Appends the rows of ``planned`` whose key is not yet at ``path`` (Parquet), and counts them: running twice adds nothing."""
     spark = planned.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         planned = planned.join(spark.read.parquet(path).select(key), key, "left_anti")
     fresh = planned.dropDuplicates([key]).withColumn("_batch", F.lit(batch := uuid.uuid4().hex))
     fresh.write.mode("append").parquet(path)
@@ -93,7 +93,7 @@ class SampleStore:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def save(self, rows: DataFrame) -> DataFrame:
         """Stores (label, content, duration_s, net_speech_s, qc_json, notes) and returns the stored rows; raises on a bad label."""
@@ -150,7 +150,7 @@ class Versions:
 
     def list(self) -> DataFrame:
         path, schema = f"{self.folder}/versions", "version long, path string, created_at timestamp, user_samples long"
-        return self.spark.read.schema(schema).parquet(path) if _exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def next(self) -> int:
         return self.list().agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
@@ -169,7 +169,7 @@ class Versions:
     def current(self) -> int:
         """The version made active last; 0, what the library came with, if none was."""
         path = f"{self.folder}/active"
-        if not _exists(self.spark, path):
+        if not exists(self.spark, path):
             return 0
         return self.spark.read.parquet(path).agg(F.max_by("version", "at")).first()[0]
 

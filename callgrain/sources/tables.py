@@ -60,8 +60,8 @@ def spectrum_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(call_id, samples): a tone of 220 Hz with overtones, 512 samples for each value of a user, as loud as the value."""
+    """(call_id, samples): a tone of 220 Hz with overtones, 512 samples for each value of a user, as loud as the value, which counts up to 100."""
     tone = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda t: F.sin(t * 0.0864) * 0.6 + F.sin(t * 0.1728) * 0.3 + F.sin(t * 0.9) * 0.1)
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value").withColumn("part", F.transform(tone, lambda s: s * F.col("value") * F.col("value") / 10000))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value").withColumn("part", F.transform(tone, lambda s: s * F.pow(F.least(F.col("value"), F.lit(100.0)) / 100, 2)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "part"))), lambda s: s.part)
     return events.groupBy(F.col("user_id").alias("call_id")).agg(F.flatten(parts).alias("samples"))

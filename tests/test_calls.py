@@ -365,3 +365,27 @@ def test_report(spark):
     from callgrain.operators import metrics as me
 
     assert me.compute(one).first().asDict() == {"n": 1, "auc": None, "eer": None, "hit_at_fpr_1": None, "hit_at_fpr_2": None, "hit_at_fpr_5": None}
+
+
+def test_builds_go_on_and_are_evaluated(spark, tmp_path):
+    from callgrain import cli, service
+
+    clips = spark.createDataFrame([(f"r/{s}/c/0.wav", [float(v) for v in synth.talk(np.random.default_rng(s), 1.0)]) for s in range(4)], "file string, samples array<double>")
+    folder, who = str(tmp_path / "set"), files.speakers(clips)
+    assert dg.build(who, clips, folder, 2, labels=["relay", "direct"], seconds=1.0) == {"relay": 2, "direct": 2}
+    first = (tmp_path / "set" / "relay" / "000000.wav").stat().st_mtime_ns
+    (tmp_path / "set" / "direct" / "000001.wav").unlink()
+    assert dg.build(who, clips, folder, 3, labels=["relay", "direct"], seconds=1.0) == {"relay": 3, "direct": 3}
+    assert (tmp_path / "set" / "relay" / "000000.wav").stat().st_mtime_ns == first and (tmp_path / "set" / "direct" / "000001.wav").exists()
+    overall, _ = service.evaluate(spark, folder)
+    assert {r["name"]: r.n for r in overall.collect()} == dict.fromkeys(("bandwidth_forensics", "reverb", "distortion"), 6)
+    assert cli.parser().parse_args(["build", "--source-dir", "a", "--out-dir", "b"]).n_per_class == 100
+
+
+def test_a_fitted_fuser_combines(spark):
+    rows = [("a", 0, 0, "gbm", 0.9, {}), ("a", 0, 1, "cnn", 0.8, {}), ("b", 0, 0, "gbm", 0.1, {})]
+    fuser = le.Fuser(["cnn", "gbm"], [2.0, 3.0], -2.5)
+    none = spark.createDataFrame([], "name string, a double, b double")
+    found = {r.call_id: r.score for r in vd.fuse(spark.createDataFrame(rows, SCORES), none, spark.createDataFrame([("gbm", 1.0)], "name string, w double"), fuser=fuser).collect()}
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    assert found == {"a": pytest.approx(logistic(2 * 0.8 + 3 * 0.9 - 2.5)), "b": pytest.approx(logistic(2 * 0.5 + 3 * 0.1 - 2.5))}
