@@ -30,8 +30,8 @@ ORDERS = (11, 12, 13)
 OFTEN, LOCAL, MOST = 4, 1 << 20, 250_000
 #: Sets compared with one set in a task.
 FAN = 256
-#: Pairs of a group's members looked at in a task.
-LOOKS = 1 << 20
+#: Members of a group that a task compares, on either side.
+SHARE = 1024
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -217,20 +217,20 @@ def _group_at(batch: pa.RecordBatch, i: int) -> tuple:
 
 
 def _cross(table: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
-    group, task, a, n, place, label, is_end = (table.column(i).to_numpy() for i in range(7))
+    group, task, a, n, place, label, is_end, is_other = (table.column(i).to_numpy() for i in range(8))
     starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (task[1:] != task[:-1])][: len(group)])
     for s, e in zip(starts, np.r_[starts[1:], len(group)][: len(starts)], strict=True):
         ends = s + np.flatnonzero(is_end[s:e])
         if not len(ends):
             continue
-        own, sketches = label[s:e], [np.frombuffer(x, np.uint64) for x in table.column(7).slice(s, e - s).to_pylist()]
+        own, sketches = label[s:e], [np.frombuffer(x, np.uint64) for x in table.column(8).slice(s, e - s).to_pylist()]
         width = np.array([len(x) for x in sketches])
         row, by_width = np.zeros(e - s, np.int64), {}
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
             row[at], by_width[int(w)] = np.arange(len(at)), np.stack([sketches[j] for j in at])
         for i in ends:
-            other = np.flatnonzero((own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold))
+            other = np.flatnonzero(is_other[s:e] & (own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold))
             near = [other[:0]]
             for w in np.unique(width[other]):
                 at = other[width[other] == w]
@@ -381,11 +381,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     labelled = written(groups.join(labels.withColumnRenamed("id", "a"), "a", "left").select("group", "a", "n", "place", F.coalesce("component", "a").alias("label")))
     # every pair across labels has an end outside one of the largest label's members; these ends are dealt out
     counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    mixed_groups = written(counts.filter("members > most").withColumn("tasks", F.ceil(F.col("members") * (F.col("members") - F.col("most")) / LOOKS).cast("int")).drop("most"))
-    open_groups = attach_groups(labelled, mixed_groups, "group", "members", labelled.count()).filter("main is not null")
-    ends = open_groups.withColumn("own", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("a"), F.col("tasks"))).otherwise(-1).cast("int"))
-    ends = ends.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).withColumn("is_end", F.col("own") == F.col("task"))
-    ends = ends.join(classes.select(F.col("class").alias("a"), "sketch"), "a").select("group", "task", "a", "n", "place", "label", "is_end", "sketch")
+    mixed_groups = counts.filter("members > most").withColumn("rows", F.ceil((F.col("members") - F.col("most")) / SHARE).cast("int"))
+    mixed_groups = written(mixed_groups.withColumn("columns", F.ceil(F.col("members") / SHARE).cast("int")).drop("most"))
+    met_groups = attach_groups(labelled, mixed_groups, "group", "members", labelled.count()).filter("main is not null")
+    # a group's tasks are a table: an end goes to all tasks of its row, and each member, to be compared with, to all of its column
+    end, row, column = F.col("label") != F.col("main"), F.pmod(F.xxhash64("a"), F.col("rows")), F.pmod(F.xxhash64("a", F.lit(1)), F.col("columns"))
+    placed = met_groups.withColumn("end", end).withColumn("row", row).withColumn("column", column)
+    cells = lambda n, row, column, is_end, other: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct((row(k) * F.col("columns") + column(k)).cast("long").alias("task"), is_end(k).alias("is_end"), F.lit(other).alias("is_other")))
+    others = cells("rows", lambda k: k, lambda k: F.col("column"), lambda k: F.col("end") & (k == F.col("row")), True)
+    own = F.filter(cells("columns", lambda k: F.col("row"), lambda k: k, lambda k: F.col("end"), False), lambda c: F.col("end") & (c.task != F.col("row") * F.col("columns") + F.col("column")))
+    ends = placed.withColumn("cell", F.explode(F.concat(others, own))).select("group", "a", "n", "place", "label", "cell.*")
+    ends = ends.join(classes.select(F.col("class").alias("a"), "sketch"), "a").select("group", "task", "a", "n", "place", "label", "is_end", "is_other", "sketch")
     across = dealt(ends, "group", "task").mapInArrow(_across(threshold), "a long, b long")
     labels = components(links.unionByName(linked(across))).withColumnRenamed("id", "class")
     known = classes.select("class", "least", "copies").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))

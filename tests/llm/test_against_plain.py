@@ -174,10 +174,10 @@ def test_components_of_stars_and_chains(spark):
     assert found == {x: top(x) for a, b in links if a != b for x in (a, b)}
 
 
-@pytest.mark.parametrize(("fan", "looks"), [(2, 1), (256, 1 << 20)])
-def test_hot_sets_lose_no_link(spark, monkeypatch, fan, looks):
+@pytest.mark.parametrize(("fan", "share"), [(2, 3), (256, 1024)])
+def test_hot_sets_lose_no_link(spark, monkeypatch, fan, share):
     monkeypatch.setattr(jaccard, "FAN", fan)
-    monkeypatch.setattr(jaccard, "LOOKS", looks)
+    monkeypatch.setattr(jaccard, "SHARE", share)
     rng = random.Random(5)
     new = lambda n: [f"v{rng.randrange(10**8)}" for _ in range(n)]
     common, rows = new(12), {}
