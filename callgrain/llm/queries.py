@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, jaccard, language, mixing, packing, pii, substring, tokens, topk, warc
+from callgrain.llm import exact_dedup, infill, jaccard, language, mixing, packing, pii, substring, tokens, topk, warc
 
 
 def vocabulary() -> str:
@@ -60,6 +61,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.filled_in_middle(_documents(spark, sf_dir))
+    again = infill.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((F.col("output"), "output_sha256"), (again, "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -102,4 +110,18 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
             FROM g""",
+        "op11_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+            t AS (
+              SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+                     [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM d),
+            c AS (SELECT *, CAST(len(tokens) AS BIGINT) AS n, h[1] % (len(tokens) + 1) AS x, h[2] % (len(tokens) + 1) AS y FROM t),
+            p AS (
+              SELECT *, array_to_string(tokens[1 : least(x, y)], '') AS pre, array_to_string(tokens[least(x, y) + 1 : greatest(x, y)], '') AS mid,
+                     array_to_string(tokens[greatest(x, y) + 1 :], '') AS suf,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                          WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+                   sha256(text) AS restored_sha256 FROM p""",
     }
