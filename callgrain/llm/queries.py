@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, infill, jaccard, language, mixing, packing, pii, substring, tokens, topk, warc
+from callgrain.llm import exact_dedup, infill, jaccard, language, mixing, packing, pii, search, substring, tokens, topk, warc
 
 
 def vocabulary() -> str:
@@ -68,12 +68,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     return {
         "op3_exact_topk": """
             WITH v AS (
@@ -124,4 +129,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
                    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
                    sha256(text) AS restored_sha256 FROM p""",
+        "op12_lexical_search": rf"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{term}') AS t FROM documents),
+            i AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all({lower}, '{term}')) AS term FROM benchmark),
+            s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+            p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+            f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+            w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+            g AS (
+              SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l)))) AS BIGINT) AS score
+              FROM i JOIN f USING (term) JOIN w USING (term), s GROUP BY q, item_id, r, doc_id)
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM g WHERE score > 0 QUALIFY rank <= 10""",
     }
