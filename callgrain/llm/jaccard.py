@@ -191,8 +191,11 @@ def _stars(threshold: int):
     return stars
 
 
-def _across(threshold: int):
-    """(a, b): members of a group that are in different components and may link. Rows come sorted by group and task."""
+def _across(threshold: int, matcher):
+    """(a, b): members of a group that are in different components and may link. Rows come sorted by group and task.
+
+    ``matcher`` takes a cell's sketches and gives a function that tells which of some members may link with one.
+    """
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -204,10 +207,10 @@ def _across(threshold: int):
                 table = pa.Table.from_batches(held)
                 group, task = table.column(0).to_numpy(), table.column(1).to_numpy()
                 cut = int(np.flatnonzero((group == group[-1]) & (task == task[-1]))[0])
-                yield from _cross(table.slice(0, cut), threshold)
+                yield from _cross(table.slice(0, cut), threshold, matcher)
                 held = table.slice(cut).to_batches()
         if held:
-            yield from _cross(pa.Table.from_batches(held), threshold)
+            yield from _cross(pa.Table.from_batches(held), threshold, matcher)
 
     return across
 
@@ -216,32 +219,42 @@ def _group_at(batch: pa.RecordBatch, i: int) -> tuple:
     return batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
 
 
-def _cross(table: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
+def _cross(table: pa.Table, threshold: int, matcher) -> Iterator[pa.RecordBatch]:
     group, task, a, n, place, label, is_end, is_other = (table.column(i).to_numpy() for i in range(8))
     starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (task[1:] != task[:-1])][: len(group)])
     for s, e in zip(starts, np.r_[starts[1:], len(group)][: len(starts)], strict=True):
         ends = s + np.flatnonzero(is_end[s:e])
         if not len(ends):
             continue
-        own, sketches = label[s:e], [np.frombuffer(x, np.uint64) for x in table.column(8).slice(s, e - s).to_pylist()]
-        width = np.array([len(x) for x in sketches])
-        row, by_width = np.zeros(e - s, np.int64), {}
-        for w in np.unique(width):
-            at = np.flatnonzero(width == w)
-            row[at], by_width[int(w)] = np.arange(len(at)), np.stack([sketches[j] for j in at])
+        own, near = label[s:e], matcher(table.column(8).slice(s, e - s).to_pylist(), n[s:e], threshold)
         for i in ends:
             other = np.flatnonzero(is_other[s:e] & (own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold))
-            near = [other[:0]]
-            for w in np.unique(width[other]):
-                at = other[width[other] == w]
-                near.append(at[_may_link(sketches[i - s], n[i], by_width[int(w)][row[at]], n[s + at], threshold)])
-            other = s + np.concatenate(near)
+            other = s + near(i - s, other)
             if len(other):
                 b = a[other]
                 pairs = np.minimum(a[i], b), np.maximum(a[i], b)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
 
+def _parity_bits(blobs: list[bytes], n: np.ndarray, threshold: int):
+    """Members whose parity bits allow a link."""
+    sketches = [np.frombuffer(x, np.uint64) for x in blobs]
+    width = np.array([len(x) for x in sketches])
+    row, by_width = np.zeros(len(blobs), np.int64), {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        row[at], by_width[int(w)] = np.arange(len(at)), np.stack([sketches[j] for j in at])
+
+    def near(i: int, other: np.ndarray) -> np.ndarray:
+        found = [other[:0]]
+        for w in np.unique(width[other]):
+            at = other[width[other] == w]
+            found.append(at[_may_link(sketches[i], n[i], by_width[int(w)][row[at]], n[at], threshold)])
+        return np.concatenate(found)
+
+    return near
+
+
 def _compared(batches: Iterator[pa.RecordBatch], threshold: int, holds, made) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) for which ``holds(hub, other)``. Rows (hub, salt, is_hub, class, n, tokens) come sorted, a hub before those it is compared with."""
     hub, kept, size = None, None, 0
@@ -377,7 +390,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
         return _where(near, _sets_of(rows, classes, _ends(near), words, lambda tokens: tokens), _sets_link(threshold, frequent))
 
     links = linked(_where(written(pairs), sketches, _sketches_near(threshold)))
-    labels = components(links)
+    across = _pairs_across(groups, components(links), classes.select("class", "sketch"), threshold, _parity_bits)
+    if not across.isEmpty():
+        links = links.unionByName(linked(across))
+    return _with_components(digests, classes, links, total)
+
+
+def _pairs_across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, threshold: int, matcher) -> DataFrame:
+    """(a, b) in different components, of the members (group, a, n, place) of a group, that ``matcher`` finds by their sketches."""
     labelled = written(groups.join(labels.withColumnRenamed("id", "a"), "a", "left").select("group", "a", "n", "place", F.coalesce("component", "a").alias("label")))
     # every pair across labels has an end outside one of the largest label's members; these ends are dealt out
     counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
@@ -391,9 +411,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     others = cells("rows", lambda k: k, lambda k: F.col("column"), lambda k: F.col("end") & (k == F.col("row")), True)
     own = F.filter(cells("columns", lambda k: F.col("row"), lambda k: k, lambda k: F.col("end"), False), lambda c: F.col("end") & (c.task != F.col("row") * F.col("columns") + F.col("column")))
     ends = placed.withColumn("cell", F.explode(F.concat(others, own))).select("group", "a", "n", "place", "label", "cell.*")
-    ends = ends.join(classes.select(F.col("class").alias("a"), "sketch"), "a").select("group", "task", "a", "n", "place", "label", "is_end", "is_other", "sketch")
-    across = dealt(ends, "group", "task").mapInArrow(_across(threshold), "a long, b long")
-    labels = components(links.unionByName(linked(across))).withColumnRenamed("id", "class")
+    ends = ends.join(sketches.withColumnRenamed("class", "a"), "a").select("group", "task", "a", "n", "place", "label", "is_end", "is_other", "sketch")
+    return written(dealt(ends, "group", "task").mapInArrow(_across(threshold, matcher), "a long, b long"))
+
+
+def _with_components(digests: DataFrame, classes: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, from the links between classes."""
+    labels = components(links).withColumnRenamed("id", "class")
     known = classes.select("class", "least", "copies").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
     named = written(attach_groups(known, least, "component", "sets", total).select("class", "component_id", "copies"))

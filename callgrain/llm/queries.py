@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, infill, jaccard, language, mixing, packing, pii, search, substring, tokens, topk, warc
+from callgrain.llm import exact_dedup, infill, jaccard, language, minhash, mixing, packing, pii, search, substring, tokens, topk, warc
 
 
 def vocabulary() -> str:
@@ -72,6 +72,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
