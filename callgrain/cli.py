@@ -17,7 +17,7 @@ from callgrain.sources import records as rec
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="callgrain", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
-    build = commands.add_parser("build", help="simulated calls from a folder of speakers")
+    build = commands.add_parser("build", help="a dataset of parts of clips from a folder of speakers")
     build.add_argument("--source-dir", required=True)
     build.add_argument("--out-dir", required=True)
     build.add_argument("--n-per-class", type=int, default=100)

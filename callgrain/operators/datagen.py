@@ -1,24 +1,27 @@
-"""Datasets of simulated calls: plans as tables, made by tasks, written so that a build can go on where it ended."""
+"""Datasets of labelled samples: plans as tables, made by tasks, written so that a build can go on where it ended.
+
+What a sample's channel does to its clip is the caller's own function of the planned rows; nothing here simulates one.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.functions import calls as kernels
-from callgrain.functions import synth
 from callgrain.operators import calls as ca
 from callgrain.operators import segments as seg
 from callgrain.operators.scenes import channel_class
 from callgrain.operators.splits import hash_limit, sample_seed, stratified
 
-LABELS = list(synth.SIMULATORS)
-#: Schema of a simulated sample.
+RATE = 16000
+#: The labels of samples.
+LABELS = ["relay", "direct", "hardneg_tv", "hardneg_reverb", "hardneg_ns", "hardneg_headset", "hardneg_car"]
+#: Schema of a sample.
 MADE = "file string, label string, split string, speaker_id string, codec1 string, codec2 string, rt60 double, distance_m double, device string, snr_db double, details string, samples array<double>"
 
 
@@ -27,21 +30,18 @@ def pick(key: Column, n: Column | int) -> Column:
     return F.pmod(sample_seed(key), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def holdouts(spark: SparkSession, seed: int = 0, devices: int = 2, pairs: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(device), (codec1, codec2) that only the test split has: the first ones in a hashed order."""
-    every = spark.createDataFrame([(d,) for d in synth.DEVICES], "device string")
-    both = spark.createDataFrame([(a, b) for a in synth.CODECS for b in synth.CODECS], "codec1 string, codec2 string")
-    return hash_limit(every, F.concat(F.lit(f"{seed}:"), "device"), devices), hash_limit(both, F.concat_ws(":", F.lit(str(seed)), "codec1", "codec2"), pairs)
+def held_out(values: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The n rows of ``values`` that only the test split has: the first ones in a hashed order."""
+    return hash_limit(values, F.concat_ws(":", F.lit(str(seed)), *values.columns), n)
 
 
 def _from(values: list, key: Column) -> Column:
     return F.array(*[F.lit(v) if not isinstance(v, tuple) else F.struct(F.lit(v[0]).alias("codec1"), F.lit(v[1]).alias("codec2")) for v in values])[pick(key, len(values))]
 
 
-def profiles(plan: DataFrame, held_devices: list[str], held_pairs: list[tuple[str, str]]) -> DataFrame:
+def profiles(plan: DataFrame, devices: list[str], pairs: list[tuple[str, str]], held_devices: list[str], held_pairs: list[tuple[str, str]]) -> DataFrame:
     """Adds device, codec1 and codec2 to relays: what is held out is drawn by half of the test split and by no one else."""
-    free = [d for d in synth.DEVICES if d not in held_devices]
-    pairs = [(a, b) for a in synth.CODECS for b in synth.CODECS]
+    free = [d for d in devices if d not in held_devices]
     key = lambda what: F.concat_ws(":", F.col("seed").cast("string"), F.lit(what))
     half = lambda what: (F.col("split") == "test") & (pick(key(what), 2) == 0)
     device = F.when(half("held device"), _from(held_devices, key("device"))).otherwise(_from(free, key("device")))
@@ -85,43 +85,14 @@ def sliced(samples: Column, n: int, key: Column) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(cut)))
 
 
-def simulated(planned: DataFrame, clips: DataFrame, seconds: float = 4.0) -> DataFrame:
-    """The samples of a plan with device, codec1 and codec2, from clips (file, samples): rows of MADE."""
-    n = int(seconds * synth.RATE)
+def clipped(planned: DataFrame, clips: DataFrame, seconds: float = 4.0) -> DataFrame:
+    """Rows of MADE of a plan with device, codec1 and codec2: the clean part of the clip (file, samples) that the seed fixes."""
     own = clips.select(F.col("file").alias("clip"), F.col("samples").alias("clean"))
-    other = clips.select(F.col("file").alias("other_clip"), F.col("samples").alias("other"))
-    key = F.col("seed").cast("string")
-    rows = planned.join(own, "clip").join(other, "other_clip", "left").withColumn("clean", sliced(F.col("clean"), n, key))
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                profile = {k: r[k] for k in ("device", "codec1", "codec2") if isinstance(r[k], str)}
-                if r["other"] is not None:
-                    profile["other"] = np.asarray(r["other"], float)
-                x, meta = synth.simulate(r["label"], np.asarray(r["clean"], float), r["seed"], profile, seconds)
-                out.append({k: r[k] for k in ("file", "label", "split", "speaker_id")} | meta | {"details": json.dumps(meta["details"]), "samples": x})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in MADE.split(", ")])
-
-    return rows.select("file", "label", "split", "speaker_id", "seed", "device", "codec1", "codec2", "clean", "other").mapInPandas(make, MADE)
-
-
-def fixtures(spark: SparkSession, per_label: int = 6, seed: int = 0, labels: tuple[str, ...] = ("relay", "direct", "hardneg_tv", "hardneg_reverb")) -> DataFrame:
-    """A small synthetic dataset of MADE rows: the last sample of a label is test, the one before dev, others train."""
-    i = F.col("i")
-    rows = spark.range(per_label).select(F.col("id").alias("i"), F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
-    rows = rows.withColumn("split", F.when(i < per_label - 2, "train").when(i == per_label - 2, "dev").otherwise("test"))
-    rows = rows.withColumn("seed", sample_seed(F.concat_ws(":", F.lit(str(seed)), "label", i.cast("string")))).withColumn("file", F.format_string("%s/%06d.wav", "label", "i"))
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            relay = batch.label == "relay"
-            out = batch[["file", "label", "split"]].assign(speaker_id="spk_" + batch.label + "_" + batch.i.astype(str), codec1="none", codec2="none")
-            out = out.assign(rt60=np.where(relay, 0.4, 0.0), distance_m=np.where(relay, 1.0, 0.0), device="fixture", snr_db=30.0, details="{}")
-            yield out.assign(samples=[synth.fixture(label, s) for label, s in zip(batch.label, batch.seed, strict=True)])
-
-    return rows.repartition(len(labels) * per_label).mapInPandas(make, MADE)
+    part = sliced(F.col("clean").cast("array<double>"), int(seconds * RATE), F.col("seed").cast("string"))
+    known = {"samples": part, "details": F.lit("{}"), "codec1": F.coalesce("codec1", F.lit("none")), "codec2": F.coalesce("codec2", F.lit("none")), "device": F.coalesce("device", F.lit("none"))}
+    known |= {"rt60": F.lit(0.0), "distance_m": F.lit(0.0), "snr_db": F.lit(-1.0)}
+    names = [c.split()[0] for c in MADE.split(", ")]
+    return planned.join(own, "clip").select(*[known.get(c, F.col(c)).alias(c) for c in names])
 
 
 def real_segments(calls: DataFrame, shortest: float = 3.0, longest: float = 8.0, seconds: float = 4.0, floor_db: float = -40.0, peak: float = 0.7) -> DataFrame:
@@ -141,10 +112,11 @@ def real_segments(calls: DataFrame, shortest: float = 3.0, longest: float = 8.0,
             for call, samples, parts in zip(batch.call_id, batch.samples, batch.parts, strict=True):
                 x, n = np.asarray(samples, float), 0
                 for part in parts:
-                    own = x[int(part["from_s"] * synth.RATE) : int(part["to_s"] * synth.RATE)]
-                    if len(own) >= int(shortest * synth.RATE) and 20 * np.log10(np.sqrt((own**2).mean()) + 1e-12) >= floor_db:
-                        own = synth.to_peak(own, peak)
-                        out.append((call, n, part["from_s"], round(len(own) / synth.RATE, 3), kernels.share_above(own), synth.centred(own, int(seconds * synth.RATE))))
+                    own = x[int(part["from_s"] * RATE) : int(part["to_s"] * RATE)]
+                    if len(own) >= int(shortest * RATE) and 20 * np.log10(np.sqrt((own**2).mean()) + 1e-12) >= floor_db:
+                        own, room = own * (peak / np.abs(own).max()), int(seconds * RATE)
+                        middle = own[max(0, (len(own) - room) // 2) :][:room]
+                        out.append((call, n, part["from_s"], round(len(own) / RATE, 3), kernels.share_above(own), np.pad(middle, (0, room - len(middle)))))
                         n += 1
             yield pd.DataFrame(out, columns=["call_id", "segment_idx", "start_s", "duration_s", "high", "samples"])
 
@@ -163,21 +135,27 @@ def protocol(segments: DataFrame, target: int) -> DataFrame:
     return rows.select(*segments.columns, F.explode(roles).alias("role"))
 
 
-def build(speakers: DataFrame, clips: DataFrame, folder: str, per_label: int, seed: int = 0, labels: list[str] = LABELS, shard: int = 0, shards: int = 1, seconds: float = 4.0) -> dict[str, int]:
+def build(speakers: DataFrame, clips: DataFrame, folder: str, per_label: int, seed: int = 0, labels: list[str] = LABELS, shard: int = 0, shards: int = 1, seconds: float = 4.0, devices: DataFrame | None = None, pairs: DataFrame | None = None, render: Callable[[DataFrame, DataFrame, float], DataFrame] = clipped) -> dict[str, int]:
     """Makes what a plan lacks below ``folder``: WAV files, and their lines in the table ``metadata``. Counts by label.
 
+    ``render`` makes rows of MADE of planned rows and clips; by itself a sample is a part of its clip. ``devices`` (device) and
+    ``pairs`` (codec1, codec2) are small tables of what relays draw from, of which two rows and one are held out.
     What has both its line and its file is left out, so a build that was stopped goes on where it ended.
     """
     from callgrain.sources import audio, records
 
     spark, path = speakers.sparkSession, f"{folder.rstrip('/')}/metadata"
-    devices, pairs = ([tuple(r) for r in part.collect()] for part in holdouts(spark, seed))  # two rows, and one
-    planned = profiles(plan(speakers, per_label, seed, labels, shard, shards), [d for (d,) in devices], pairs)
+    planned = plan(speakers, per_label, seed, labels, shard, shards)
+    if devices is None or pairs is None:
+        planned = planned.withColumns({c: F.lit(None).cast("string") for c in ("device", "codec1", "codec2")})
+    else:
+        every, both = [d for (d,) in devices.collect()], [tuple(r) for r in pairs.collect()]
+        held = [d for (d,) in held_out(devices, 2, seed).collect()], [tuple(r) for r in held_out(pairs, 1, seed).collect()]
+        planned = profiles(planned, every, both, *held)
     if records.exists(spark, path):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(folder)
         there = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"))
         planned = planned.join(records.done(spark.read.parquet(path), there), "file", "left_anti")
-    made = simulated(planned, clips, seconds)
-    records.append_new(audio.write_audio(made, folder).drop("bytes"), path)
+    records.append_new(audio.write_audio(render(planned, clips, seconds), folder).drop("bytes"), path)
     rows = spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n")).collect()
     return {r.label: r.n for r in rows}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callgrain.functions import audio, calls, synth
+from callgrain.functions import audio, calls
 from callgrain.operators import calls as ca
 from callgrain.operators import changepoint as cp
 from callgrain.operators import conversation as talk
@@ -18,13 +18,14 @@ from callgrain.operators import scenes as sc
 from callgrain.operators import verdict as vd
 from callgrain.sources import audio as files
 from callgrain.sources import records as rec
+from signals import voice
 
 
 @pytest.fixture(scope="module")
 def signals():
     rng = np.random.default_rng(11)
-    long = np.concatenate([synth.talk(rng, 3.0), np.zeros(16000), synth.talk(rng, 2.5), 0.002 * rng.standard_normal(20000), synth.talk(rng, 2.0)])
-    return {"long": long, "talk": synth.talk(rng, 4.0), "hush": 0.001 * rng.standard_normal(16000), "bit": synth.talk(rng, 0.2), "none": np.zeros(0)}
+    long = np.concatenate([voice(rng, 3.0), np.zeros(16000), voice(rng, 2.5), 0.002 * rng.standard_normal(20000), voice(rng, 2.0)])
+    return {"long": long, "talk": voice(rng, 4.0), "hush": 0.001 * rng.standard_normal(16000), "bit": voice(rng, 0.2), "none": np.zeros(0)}
 
 
 @pytest.fixture(scope="module")
@@ -284,18 +285,22 @@ def test_records(spark, tmp_path):
 
 
 def test_datasets_are_made_by_plan(spark):
-    clips = spark.createDataFrame([(f"r/{s}/c/{i}.flac", [float(v) for v in synth.talk(np.random.default_rng(10 * s + i), 1.0)]) for s in range(6) for i in range(2)], "file string, samples array<double>")
+    clips = spark.createDataFrame([(f"r/{s}/c/{i}.flac", [float(v) for v in voice(np.random.default_rng(10 * s + i), 1.0)]) for s in range(6) for i in range(2)], "file string, samples array<double>")
     who = files.speakers(clips)
     assert who.agg(F.count("*")).first()[0] == 6
     planned = dg.plan(who, 10, labels=["relay", "direct", "hardneg_tv"])
     assert planned.count() == 30 and planned.filter("clip is null").count() == 0
-    full = dg.profiles(planned, ["tablet"], [("gsm", "opus")]).cache()
+    devices, pairs = ["tablet", "phone", "car"], [(a, b) for a in ("gsm", "opus") for b in ("gsm", "opus")]
+    full = dg.profiles(planned, devices, pairs, ["tablet"], [("gsm", "opus")]).cache()
     relays = full.filter("label = 'relay'").collect()
     assert all(r.device != "tablet" and (r.codec1, r.codec2) != ("gsm", "opus") for r in relays if r.split != "test")
-    made = dg.simulated(full, clips, 1.0).collect()
-    assert len(made) == 30 and all(len(r.samples) == 16000 and np.isfinite(r.samples).all() and 0.4 < np.abs(r.samples).max() < 1 for r in made)
-    assert sorted(r.file for r in made) == sorted(r.file for r in full.collect())
-    again = {r.file: r.samples for r in dg.simulated(full, clips, 1.0).collect()}
+    made = dg.clipped(full, clips, 0.5).collect()
+    whole = {r.file: np.array(r.samples) for r in clips.collect()}
+    clip = {r.file: r.clip for r in full.collect()}
+    assert len(made) == 30 and made[0].asDict().keys() == {c.split()[0] for c in dg.MADE.split(", ")}
+    for r in made:
+        assert any(np.array_equal(whole[clip[r.file]][i : i + 8000], r.samples) for i in range(8001))
+    again = {r.file: r.samples for r in dg.clipped(full, clips, 0.5).collect()}
     assert all(again[r.file] == r.samples for r in made)
     assert all(r.codec2 == "none" for r in made if r.label != "relay")
 
@@ -306,15 +311,6 @@ def test_real_segments(table):
     assert all(np.abs(r.samples).max() <= 0.7 + 1e-9 for r in found)
 
 
-def test_simulators_are_finite():
-    for label in synth.SIMULATORS:
-        for clean in (np.zeros(0), np.zeros(100), synth.talk(np.random.default_rng(4), 1.0)):
-            x, meta = synth.simulate(label, clean, 7, {}, 1.0)
-            assert len(x) == 16000 and np.isfinite(x).all() and set(meta) >= {"codec1", "codec2", "rt60", "device", "snr_db"}
-    assert np.allclose(synth.limited(np.array([-1.0, 0.5, 0.9])), [-0.775, 0.5, 0.75])
-    assert np.abs(synth.mu_law(np.linspace(-1, 1, 99)) - np.linspace(-1, 1, 99)).max() < 0.025
-
-
 def test_learning(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(f"f{i}", "relay" if i % 3 == 0 else "direct", int(i % 3 == 0), float(rng.normal(i % 3 == 0)), float(rng.normal()), 5.0) for i in range(200)]
@@ -337,7 +333,9 @@ def test_learning(spark, tmp_path):
 
 
 def test_training_job(spark, tmp_path):
-    made = dg.fixtures(spark, 3).cache()
+    labels, splits = ["relay", "direct", "hardneg_tv", "hardneg_reverb"], ["train", "dev", "test"]
+    rows = [(f"{x}/{i}.wav", x, split, [float(v) for v in np.clip(voice(np.random.default_rng(10 * k + i)) * (6 if x == "relay" else 1), -0.4, 0.4)]) for k, x in enumerate(labels) for i, split in enumerate(splits)]
+    made = spark.createDataFrame(rows, "file string, label string, split string, samples array<double>").cache()
     anchor = made.select("file", "label", "samples")
     uploads = made.filter("split <> 'train'").select(F.concat(F.lit("u/"), "file").alias("file"), "label", "samples")
     versions = rec.Versions(spark, str(tmp_path))
@@ -370,7 +368,7 @@ def test_report(spark):
 def test_builds_go_on_and_are_evaluated(spark, tmp_path):
     from callgrain import cli, service
 
-    clips = spark.createDataFrame([(f"r/{s}/c/0.wav", [float(v) for v in synth.talk(np.random.default_rng(s), 1.0)]) for s in range(4)], "file string, samples array<double>")
+    clips = spark.createDataFrame([(f"r/{s}/c/0.wav", [float(v) for v in voice(np.random.default_rng(s), 1.0)]) for s in range(4)], "file string, samples array<double>")
     folder, who = str(tmp_path / "set"), files.speakers(clips)
     assert dg.build(who, clips, folder, 2, labels=["relay", "direct"], seconds=1.0) == {"relay": 2, "direct": 2}
     first = (tmp_path / "set" / "relay" / "000000.wav").stat().st_mtime_ns
