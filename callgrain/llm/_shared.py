@@ -78,22 +78,32 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Memo(dict):
-    """What a worker remembers of short texts between tasks: MEMO_BYTES at most by estimate, then it starts anew."""
+    """What a worker remembers of short texts between tasks: MEMO_BYTES at most by estimate.
+
+    It has a newer and an older half. When the newer one is full it becomes the older one, and what
+    was in that and has not been asked for since is forgotten.
+    """
 
     def __init__(self, most: int = MEMO_BYTES) -> None:
         super().__init__()
-        self.most, self.held = most, 0
+        self.most, self.held, self.old = most, 0, {}
 
     def keep(self, text: str, value: object) -> None:
         if len(text) > MEMO_LETTERS:
             return
         size = 100 + sys.getsizeof(text) + sys.getsizeof(value)
-        if self.held + size > self.most:
+        if self.held + size > self.most // 2:
+            self.old, self.held = dict(self), 0
             self.clear()
-            self.held = 0
         self.held += size
         self[text] = value
 
+    def older(self, text: str) -> object | None:
+        """What is known from the older half; then it is new again."""
+        if (value := self.old.get(text)) is not None:
+            self.keep(text, value)
+        return value
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

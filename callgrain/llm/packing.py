@@ -17,13 +17,12 @@ from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm._shared import Memo, arrow_map, partitions, written
-from callgrain.llm.tokens import PIECES, byte_letters, check_byte_level, cut
+from callgrain.llm.tokens import byte_letters, check_byte_level, cut, pieces_of
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -84,6 +83,8 @@ class _Pieces(Memo):
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.older(piece)) is not None:
+            return known
         if piece.isascii() and piece.isprintable():
             shown = piece.replace(" ", self.letters[ord(" ")])
         else:
@@ -106,7 +107,7 @@ class _Ids(Memo):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.split = _Pieces(self.tokenizer), regex.compile(PIECES).findall
+        self.pieces, self.split = _Pieces(self.tokenizer), pieces_of()
         try:
             check_byte_level(json.loads(self.tokenizer.to_str()))
             self.parts = True
@@ -114,6 +115,8 @@ class _Ids(Memo):
             self.parts = False
 
     def __missing__(self, part: str) -> bytes:
+        if (known := self.older(part)) is not None:
+            return known
         ids = b"".join(map(self.pieces.__getitem__, self.split(part)))
         self.keep(part, ids)
         return ids

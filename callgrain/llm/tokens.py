@@ -11,19 +11,66 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm._shared import Memo, arrow_map
 
-#: Fixed value: the pattern that cuts texts of this family of vocabularies.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space other than blanks and line feeds, and the mark that cut() puts in.
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff\x01]")
+#: Fixed value: the pattern that cuts texts of this family of vocabularies, with letters L, numbers N and white space S.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: A letter, a number and another sign, to be asked for beside a code point.
+_KINDS = {"O": "!", "L": "a", "N": "1"}
+
+
+def _kinds_of(block: list[str], cut: Callable) -> list[str]:
+    """L, N, O or S for each code point: that of the sign with which the cutter leaves it together, else white space."""
+    for kind, sign in _KINDS.items():
+        if len(cut(sign + "".join(block))) == 1:
+            return [kind] * len(block)
+    kinds = ["S"] * len(block)
+    for kind, sign in _KINDS.items():
+        starts = {span[0] for _, span in cut("\n".join(sign + c for c in block))}
+        for i in range(len(block)):
+            if 3 * i + 1 not in starts:
+                kinds[i] = kind
+    return kinds
+
+
+@cache
+def classes() -> dict[str, str]:
+    """The letters, numbers and white space that the library's own cutter knows, as ranges for a pattern.
+
+    Asked of the library, whose Unicode may be older or newer than that of other packages.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut, spans = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str, {"L": [], "N": [], "S": []}
+    for start in range(0, 0x110000, 256):
+        block = [c for c in range(start, start + 256) if not 0xD800 <= c < 0xE000]
+        for c, kind in zip(block, _kinds_of([chr(c) for c in block], cut) if block else [], strict=True):
+            if kind != "O":
+                own = spans[kind]
+                if own and own[-1][1] == c - 1:
+                    own[-1][1] = c
+                else:
+                    own.append([c, c])
+    return {kind: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in own) for kind, own in spans.items()}
+
+
+@cache
+def pieces_of() -> Callable[[str], list[str]]:
+    """Cuts a text into the pieces that are merged alone."""
+    return re.compile(PIECES.format(**classes())).findall
+
+
+@cache
+def _rare_space() -> re.Pattern:
+    """White space other than blanks and line feeds, and the mark that cut() puts in."""
+    return re.compile(f"(?![ \n])[{classes()['S']}\x01]")
 
 
 def cut(text: str) -> list[str] | None:
@@ -33,7 +80,7 @@ def cut(text: str) -> list[str] | None:
     reach over such parts. A piece never reaches over the ends of these parts, since
     a single blank goes with what follows and a single line feed is a piece.
     """
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text):
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _rare_space().search(text):
         return None
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
@@ -78,12 +125,12 @@ class MergeCounter:
         special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = special
-        self.pieces = regex.compile(PIECES)
+        self.pieces = pieces_of()
         self.counts, self.parts = Memo(), _Parts(self)
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
-        known = self.counts.get(text)
+        known = self.counts.get(text) or self.counts.older(text)
         if known is None:
             known = self.merge(text.encode("utf-8", "surrogatepass"))
             self.counts.keep(text, known)
@@ -127,7 +174,7 @@ class MergeCounter:
         """Tokens of a text in which special strings mean nothing."""
         if (parts := cut(text)) is not None:
             return sum(map(self.parts.__getitem__, parts))
-        return sum(map(self.piece, self.pieces.findall(text)))
+        return sum(map(self.piece, self.pieces(text)))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; each special string in it is one token, as by the library's default."""
@@ -146,7 +193,9 @@ class _Parts(Memo):
         self.counter = counter
 
     def __missing__(self, part: str) -> int:
-        n = sum(map(self.counter.piece, self.counter.pieces.findall(part)))
+        if (known := self.older(part)) is not None:
+            return known
+        n = sum(map(self.counter.piece, self.counter.pieces(part)))
         self.keep(part, n)
         return n
 

@@ -48,6 +48,18 @@ def test_token_counts_are_the_librarys(spark, texts, edges):
     assert tokens.token_counts(edges.limit(0), queries.vocabulary()).count() == 0
 
 
+def test_all_code_points_are_cut_as_by_the_library():
+    """Letters, numbers and white space are the library's, whatever Unicode other packages know."""
+    from tokenizers import Tokenizer
+
+    t, count, ids = Tokenizer.from_file(queries.vocabulary()), tokens.MergeCounter(queries.vocabulary()).count, packing.ids_of(queries.vocabulary())
+    points = [c for a, b in ((0, 0x34000), (0xE0000, 0xE0200), (0xF0000, 0xF0100), (0x10FF00, 0x110000)) for c in range(a, b) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20_000):
+        rows = [f"x{chr(c)}'s 1{chr(c)} {chr(c)}{chr(c)}!{chr(c)}\n" for c in points[at : at + 20_000]]
+        for x, known in zip(rows, t.encode_batch(rows, add_special_tokens=False), strict=True):
+            assert count(x) == len(known.ids) and np.frombuffer(ids.of(x), "<u4").tolist() == known.ids
+
+
 def test_packing_is_a_partition_of_the_ids(spark, texts, edges):
     from tokenizers import Tokenizer
 
