@@ -95,14 +95,14 @@ def prefix(n: int, threshold: int) -> int:
 
 
 def _summaries(words: int):
-    """(doc_id, n, class, sketch) for each row, and (token, n) for tokens that are often met, under a null class."""
+    """(doc_id, mark, n, class, sketch) for each row, and (token, n) for tokens that are often met, under a null class."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            rows = [(len(s), int(class_of(s)), sketch(s).tobytes()) for s in map(_hold(held), shingle_sets(text_bytes(batch.column(1)), words))]
+            rows = [(len(s), int(class_of(s)), sketch(s).tobytes()) for s in map(_hold(held), shingle_sets(text_bytes(batch.column(2)), words))]
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.nulls(len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "class", "token", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", "n", "class", "token", "sketch"])
             size = sum(map(len, held))
             if size > LOCAL:
                 yield _often(held)
@@ -124,8 +124,8 @@ def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     tokens, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
     tokens, n = tokens[n >= OFTEN], n[n >= OFTEN]
     none = pa.nulls(len(n), pa.int64())
-    columns = [none, pa.array(n.astype(np.int64)), none, pa.array(signed(tokens)), pa.nulls(len(n), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "token", "sketch"])
+    columns = [none, none, pa.array(n.astype(np.int64)), none, pa.array(signed(tokens)), pa.nulls(len(n), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "class", "token", "sketch"])
 
 
 def _prefixes(words: int, threshold: int, frequent, buckets: int):
@@ -194,7 +194,7 @@ def _stars(threshold: int):
 def _across(threshold: int, matcher):
     """(a, b): members of a group that are in different components and may link. Rows come sorted by group and task.
 
-    ``matcher`` takes a cell's sketches and gives a function that tells which of some members may link with one.
+    ``matcher`` takes a cell's sketches, sizes, threshold and group, and gives a function that tells which of some members may link with one.
     """
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _cross(table: pa.Table, threshold: int, matcher) -> Iterator[pa.RecordBatch]
         ends = s + np.flatnonzero(is_end[s:e])
         if not len(ends):
             continue
-        own, near = label[s:e], matcher(table.column(8).slice(s, e - s).to_pylist(), n[s:e], threshold)
+        own, near = label[s:e], matcher(table.column(8).slice(s, e - s).to_pylist(), n[s:e], threshold, group[s])
         for i in ends:
             other = np.flatnonzero(is_other[s:e] & (own != label[i]) & _fits(n[i : i + 1], place[i : i + 1], n[s:e], place[s:e], threshold))
             other = s + near(i - s, other)
@@ -236,7 +236,7 @@ def _cross(table: pa.Table, threshold: int, matcher) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
 
-def _parity_bits(blobs: list[bytes], n: np.ndarray, threshold: int):
+def _parity_bits(blobs: list[bytes], n: np.ndarray, threshold: int, group: int = 0):
     """Members whose parity bits allow a link."""
     sketches = [np.frombuffer(x, np.uint64) for x in blobs]
     width = np.array([len(x) for x in sketches])
@@ -363,10 +363,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     hint, 2 MB at most) and the filters of candidates (16 MB at most) are broadcast. Neither
     changes a result. Sets are known by 64-bit hashes of shingles and of sets.
     """
-    spark = docs.sparkSession
+    grouped = _grouped(_marked(docs, id_col, text_col), words, threshold)
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return grouped.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text): rows with equal ids and texts have equal marks, and no others as good as surely."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _grouped(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(doc_id, mark, n, component, component_id) for every row; component is the same in a group, and null without shingles."""
+    spark = rows.sparkSession
     sc = spark.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    summed = written(arrow_map(rows, _summaries(words), "doc_id long, n long, class long, token long, sketch binary"))
+    summed = written(arrow_map(rows, _summaries(words), "doc_id long, mark long, n long, class long, token long, sketch binary"))
     digests = summed.filter("token is null").drop("token", "sketch")
     often = summed.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MOST).select("token").collect()
     frequent = sc.broadcast(np.sort(np.array([r.token for r in often], np.int64).view(np.uint64)))
@@ -416,18 +428,31 @@ def _pairs_across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, thr
 
 
 def _with_components(digests: DataFrame, classes: DataFrame, links: DataFrame, total: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, from the links between classes."""
+    """``digests`` with component and component_id, from the links between classes; null for the class of those without shingles."""
     labels = components(links).withColumnRenamed("id", "class")
     known = classes.select("class", "least", "copies").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    named = written(attach_groups(known, least, "component", "sets", total).select("class", "component_id", "copies"))
-    out = attach_groups(digests, named, "class", "copies", total)
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    named = written(attach_groups(known, least, "component", "sets", total).select("class", "component", "component_id", "copies"))
+    return attach_groups(digests, named, "class", "copies", total).drop("class", "copies")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's: one document of each group, with all columns."""
-    stay = near_duplicates(docs, id_col=id_col, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+def one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked documents, with all columns, and every row without shingles.
+
+    The row with the smallest doc_id stays (a null one only where all are null); of several with it, one.
+    Rows are known by their id and a hash of their text; repeated rows, of which one stays, differ in nothing that
+    chooses between them. Ids may clash or be null: each row is judged by its own text.
+    """
+    grouped = written(_grouped(_marked(docs, id_col, text_col), words, threshold))
+    alike = grouped.filter("component is not null").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    first = alike.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "copies")).alias("row")).select("row.*")
+    alone = grouped.filter("component is null").select("doc_id", "mark").distinct().withColumn("copies", F.lit(1).cast("long"))
+    stay = written(first.drop("last").unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies")))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return kept.join(stay, F.col(f"doc.`{id_col}`").cast("long").eqNullSafe(F.col("_id")), "left_semi").select("doc.*")
+    kept = kept.withColumn("_at", F.xxhash64(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")).cast("binary")))
+    own = (F.col("_at") == F.col("_mark")) & F.col(f"doc.`{id_col}`").cast("long").eqNullSafe(F.col("_id"))
+    once = kept.join(stay.filter("_copies = 1"), own, "left_semi").select("doc.*")
+    several = stay.filter("_copies > 1")
+    if several.isEmpty():
+        return once
+    return once.unionByName(kept.join(several, own).dropDuplicates(["_id", "_mark"]).select("doc.*"))

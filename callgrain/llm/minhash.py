@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import arrow_map, attach_groups, signed, text_bytes, word_hashes, written
-from callgrain.llm.jaccard import _compared, _ends, _pairs_across, _sets_of, _where, _with_components, class_of, shingle_sets
+from callgrain.llm._shared import arrow_map, attach_groups, mixed, signed, text_bytes, written
+from callgrain.llm.jaccard import _compared, _ends, _may_link, _pairs_across, _parity_bits, _sets_of, _where, _with_components, class_of, shingle_sets, sketch
 from callgrain.llm.graph import components
 
 #: Bands of a signature and least hashes in each. At a similarity of 0.85, a pair meets in no band once in 10 million times.
@@ -33,6 +33,8 @@ BATCH = 28
 AT_ONCE, REMEMBERED = 1 << 15, 1 << 16
 
 _SEEDS = np.random.default_rng(13).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: A signature's length in 64-bit words; parity bits follow it.
+_WORDS = BANDS * ROWS // 2
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -93,7 +95,7 @@ def _bounds(threshold: int, miss: float) -> list[int]:
 
 
 def _summaries(words: int):
-    """(doc_id, n, class, signature) for each row; the signature once for each class that a task remembers."""
+    """(doc_id, n, class, sketch) for each row; the sketch, signature and parity bits, once for each class that a task remembers."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -109,25 +111,40 @@ def _summaries(words: int):
                     new.append(s)
                     at.append(i)
             signs: list[bytes | None] = [None] * len(n)
-            for i, row in zip(at, signatures(new), strict=True):
-                signs[i] = row.tobytes()
+            for i, s, row in zip(at, new, signatures(new), strict=True):
+                signs[i] = row.tobytes() + sketch(s).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(own, np.uint64))), pa.array(signs, pa.binary())], ["doc_id", "n", "class", "sketch"])
 
     return sums
 
 
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of each signature."""
+    parts = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None]
+    for i in range(ROWS):
+        keys = mixed(keys ^ parts[:, :, i], 41 + i)
+    return signed(keys)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, n, sketch) to (band, class, n), a row for each band."""
+    """(class, sketch) to (band, class), a row for each band."""
     for batch in batches:
-        rows = [x[4 * ROWS * k : 4 * ROWS * (k + 1)] + bytes([k]) for x in batch.column(2).to_pylist() for k in range(BANDS)]
-        own, n = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(word_hashes(rows))), pa.array(own), pa.array(n)], ["band", "class", "n"])
+        keys = band_keys(_signatures_of(batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "class"])
+
+
+def _signatures_of(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[: 8 * _WORDS] for x in blobs), np.uint32).reshape(len(blobs), len(_SEEDS))
 
 
 def _by_signature(threshold: int, miss: float):
     least = _bounds(threshold, miss)
-    holds = lambda x, y: len(agreeing(x, y[None], least)) > 0
-    return lambda batches: _compared(batches, threshold, holds, lambda n, blob: blob.view(np.uint32))
+
+    def holds(x: tuple, y: tuple) -> bool:
+        return len(agreeing(x[0], y[0][None], least)) > 0 and bool(_may_link(*x[1:], *y[1:], threshold))
+
+    return lambda batches: _compared(batches, threshold, holds, lambda n, blob: (blob[:_WORDS].view(np.uint32), blob[_WORDS:], n))
 
 
 def _by_set(threshold: int):
@@ -139,11 +156,22 @@ def _by_set(threshold: int):
 
 
 def _matcher(miss: float):
-    """Members of a cell whose signatures are not pruned against one's."""
+    """Members of a cell whose signatures are not pruned against one's, and whose parity bits allow a link.
+
+    Two that meet in several bands are a pair in the least of these alone. Of bands with the same classes, the least
+    is looked at, so the least band of a pair is always among those.
+    """
+
+    def of(blobs: list[bytes], n: np.ndarray, threshold: int, band: int):
+        rows, least = _signatures_of(blobs), _bounds(threshold, miss)
+        keys, allowed = band_keys(rows), _parity_bits([x[8 * _WORDS :] for x in blobs], n, threshold)
+
+        def near(i: int, other: np.ndarray) -> np.ndarray:
+            other = allowed(i, other[agreeing(rows[i], rows[other], least)])
+            shared = np.where(keys[other] == keys[i], keys[other], np.iinfo(np.int64).max)
+            return other[shared.min(1, initial=np.iinfo(np.int64).max) == band]
 
-    def of(blobs: list[bytes], n: np.ndarray, threshold: int):
-        rows, least = np.stack([np.frombuffer(x, np.uint32) for x in blobs]), _bounds(threshold, miss)
-        return lambda i, other: other[agreeing(rows[i], rows[other], least)]
+        return near
 
     return of
 
@@ -170,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 85, miss:
     total = digests.count()
     filled = summed.filter("n > 0").groupBy("class")
     classes = written(filled.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
-    bands = written(arrow_map(classes.select("class", "n", "sketch"), _bands, "band long, class long, n long"))
+    bands = written(arrow_map(classes.select("class", "sketch"), _bands, "band long, class long"))
     # bands in which the same classes meet are one: of them, the least is looked at
     met = bands.groupBy("band").agg(F.min("class").alias("hub"), F.count("*").alias("members"), F.expr("bit_xor(xxhash64(class))").alias("who"))
     met = met.filter("members > 1").groupBy("who", "members", "hub").agg(F.min("band").alias("band"))
@@ -182,8 +210,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 85, miss:
         return _where(pairs, _sets_of(rows, classes, _ends(pairs), words, lambda tokens: tokens), _by_set(threshold))
 
     links = linked(_where(written(pairs), signs, _by_signature(threshold, miss)))
-    groups = meeting.filter("members > 2").select(F.col("band").alias("group"), F.col("class").alias("a"), "n", F.lit(0).cast("long").alias("place"))
+    sizes = classes.select(F.col("class").alias("a"), "n")
+    groups = meeting.filter("members > 2").select(F.col("band").alias("group"), F.col("class").alias("a")).join(sizes, "a").withColumn("place", F.lit(0).cast("long"))
     across = _pairs_across(groups, components(links), classes.select("class", "sketch"), threshold, _matcher(miss))
     if not across.isEmpty():
         links = links.unionByName(linked(written(across.distinct())))
-    return _with_components(digests, classes, links, total).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    named = _with_components(digests, classes, links, total).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -235,6 +235,25 @@ def test_memory_of_workers_is_bounded():
     assert max(counter.counts.held, counter.parts.held) <= 20_000 and all(len(k) <= 64 for k in counter.parts)
 
 
+def test_one_row_of_each_group(spark):
+    """Clashing, repeated and null ids: of each group of linked texts one row stays, with the smallest id."""
+    base = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(base[:k] + ["x"] + base[k + 1 :])  # noqa: E731  all link with one another
+    other, blank = "one two three four five six seven", " "
+    rows = [(0, text(1)), (1, other), (1, text(2)), (7, text(3)), (7, text(3)), (None, text(1)), (None, "a b c d e f"), (None, "a b c d e f"), (None, "a b c d e f"), (None, "A b c d e f"), (5, blank), (5, blank), (5, None), (0, "lone words of its own here"), (0, text(5))]
+    shape = "doc_id long, text string, _id long, mark string, doc int, copies int"
+    docs = spark.createDataFrame([(*r, 1, "m", 2, 3) for r in rows], shape)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    linked = [x for x in found if x[1].startswith(("w0", "x w1"))]
+    assert len(linked) == 1 and linked[0][0] == 0 and found[linked[0]] == 1
+    assert found - Counter(linked) == Counter({(1, other): 1, (None, "a b c d e f"): 1, (5, blank): 2, (5, ""): 1, (0, "lone words of its own here"): 1})
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+    same = spark.createDataFrame([(7, other)] * 3 + [(None, base[0])] * 2, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.one_of_each(same).collect())) == Counter([(7, other), (None, base[0])])
+
+
 def test_pipeline_is_its_stages_done_plainly(spark):
     import corpus_pipeline
 
