@@ -153,9 +153,10 @@ def q_identity_drift(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 100 > 90 THEN 'EXPIRED' WHEN value / 10 < 3 AND event_id % 3 > 0 THEN 'RETRY' WHEN value / 10 < 3 THEN 'FAIL'
-WHEN event_type = 'error' THEN 'FAIL' WHEN value / (1 + value) < 0.98 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM events""")
+WHEN event_type = 'error' THEN 'FAIL' WHEN event_type <> 'click' AND value / 200 < CASE WHEN event_id % 2 = 0 THEN 0.30 ELSE 0.20 END THEN 'FAIL' ELSE 'PASS' END AS verdict FROM events""")
 def q_challenge_verdicts(spark, sf_dir):
-    v = bio.challenge_verdict(F.col("event_id") % 100, F.lit(90), F.col("value") / 10, F.col("event_type") != "error", F.col("value") / (1 + F.col("value")), F.col("event_id") % 3, need=0.98)
+    channel, identity = F.when(F.col("event_id") % 2 == 0, "handset"), F.when(F.col("event_type") != "click", F.col("value") / 200)
+    v = bio.challenge_verdict(F.col("event_id") % 100, F.lit(90), F.col("value") / 10, F.col("event_type") != "error", identity, F.col("event_id") % 3, need=bio.least_identity(channel))
     return src.table(spark, sf_dir, "events").select("event_id", v.alias("verdict"))
 
 

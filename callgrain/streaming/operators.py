@@ -1,14 +1,14 @@
-"""Streaming forms: sliding windows, speech-gap sessions, smoothing per call, challenges with a deadline."""
+"""Streaming forms: sliding windows, speech-gap sessions, scores by the active version, and runs to the end of an input."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from callgrain.sources.records import exists
+from callgrain.sources.stores import scratch
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files: int = 1, ended: bool = False) -> DataFrame:
@@ -20,7 +20,7 @@ def events_stream(spark: SparkSession, sf_dir: str, files: int = 1, ended: bool
     shape = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(shape).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     if ended:
-        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/end"
+        path = f"{scratch(spark)}/end"
         spark.range(1).select(*[F.lit("2200-01-01" if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in shape]).write.parquet(path)
         rows = rows.unionByName(spark.readStream.schema(shape).parquet(path))
     return rows.withColumn("t", F.col("ts").cast("timestamp"))
@@ -34,89 +34,58 @@ def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     return stream.withWatermark("t", late).groupBy("user_id", F.session_window("t", gap)).agg(F.count("*").alias("n"))
 
 
-def smoothed(stream: DataFrame, alpha: float = 0.4) -> DataFrame:
-    """The running smoothed score of each call; a call's state is its last value."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        e, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(batches).sort_values("event_id")
-        for s in rows.score:
-            e, n = s if e is None else alpha * s + (1 - alpha) * e, n + 1
-        state.update((float(e), n))
-        yield pd.DataFrame({"call_id": [key[0]], "n": [n], "smoothed": [float(e)]})
-
-    scores = stream.select(F.col("user_id").alias("call_id"), "event_id", (F.col("value") / (1 + F.col("value"))).alias("score"))
-    return scores.groupBy("call_id").applyInPandasWithState(step, "call_id long, n long, smoothed double", "e double, n long", "update", GroupStateTimeout.NoTimeout)
+def swapped(stream: DataFrame, folder: str, active: Callable[[], int], load: Callable[[int], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Scores a stream by the version that ``active`` names when a batch starts, to the end of what is there; returns all rows so far, with ``version``.
 
-
-def challenges(stream: DataFrame, retries: int = 2, need: float = 0.9, ttl_ms: int | None = None) -> DataFrame:
-    """Each session's responses against its retries; with ``ttl_ms``, a session without new ones for that long expires.
-
-    A processing-time deadline keeps a stream busy, so a run over what is there has none.
+    Below ``folder`` are the rows of each batch, the version it had, and the stream's checkpoint. A batch's version is written
+    before its rows, and read again if the batch runs again: so it has one version, whatever happens between, and its
+    rows replace those of an attempt that was cut off. A version is loaded once each time it changes.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"call_id": [key[0]], "verdict": ["EXPIRED"]})
-            return
-        left, done = state.get if state.exists else (retries, "")
-        for s in pd.concat(batches).sort_values("event_id").score:
-            if not done:
-                done = "PASS" if s >= need else ("FAIL" if left == 0 else "")
-                left -= s < need
-        state.update((int(left), done))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"call_id": [key[0]], "verdict": [done or "RETRY"]})
-
-    scores = stream.select(F.col("user_id").alias("call_id"), "event_id", (F.col("value") / (1 + F.col("value"))).alias("score"))
-    return scores.groupBy("call_id").applyInPandasWithState(step, "call_id long, verdict string", "left int, done string", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
-
-
-def hot_swapped(stream: DataFrame, active: Callable[[], int], load: Callable[[int], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """What a stream's rows score under the version that ``active`` names when their batch starts; it is loaded once each time it changes."""
-    held: dict[int, Callable[[DataFrame], DataFrame]] = {}
-
-    def score(batch: DataFrame) -> DataFrame:
-        n = active()
+    spark, held = stream.sparkSession, {}
+    folder = folder.rstrip("/")
+
+    def score(batch: DataFrame, number: int) -> None:
+        session, commit = batch.sparkSession, f"{folder}/commits/batch={number}"
+        if not exists(session, f"{commit}/_SUCCESS"):
+            session.createDataFrame([(active(),)], "version int").coalesce(1).write.mode("overwrite").parquet(commit)
+        n = session.read.schema("version int").parquet(commit).first()[0]
         if n not in held:
             held.clear()
             held[n] = load(n)
-        return held[n](batch).withColumn("version", F.lit(n))
+        held[n](batch).withColumn("version", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    return collected(stream, "append", score)
+    run = stream.writeStream.foreachBatch(score).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+#: Fixed value: the state store that keyed states with timers need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def collected(stream: DataFrame, mode: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Runs a stream over all that is there, each batch written to the shared folder, and returns these tables.
+def collected(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Runs a stream over all that is there, each batch written to the shared folder, and returns these tables, which go when the interpreter ends.
 
     In append mode a window leaves the state once the watermark is past its end; what is left then is closed by
     a last, empty batch of a stream that is told its input has ended. A batch that runs twice overwrites itself.
+    The session's state store is put back after the start, since a query keeps the one it began with. ``progress`` gets the query's reports.
     """
     spark = stream.sparkSession
-    top = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    batches: list[str] = []
+    top, key = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    shape = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = change(batch)
-        path = f"{top}/out/batch={number}"
-        rows.write.mode("overwrite").parquet(path)
-        if path not in batches:
-            batches.append(path)
-            shape.append(rows.schema)
-
-    shape: list = []
-    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{top}/out/batch={number}")
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
     run.awaitTermination()
-    return spark.read.schema(shape[0]).parquet(*batches)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session may lack it."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file:///tmp/checkpoints"
-    return top.rstrip("/")
+    if progress is not None:
+        progress.extend(run.recentProgress)
+    if not exists(spark, f"{top}/out"):  # no batch
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(f"{top}/out")

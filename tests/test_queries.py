@@ -29,21 +29,3 @@ def test_tracks_of_the_stand_in_calls(spark):
     row = catalog.queries()["q_mel"](spark, SF).first()
     assert len(row.mel) == 32
     assert all(r.end_s > r.start_s for r in catalog.queries()["q_turns"](spark, SF).collect())
-
-
-def test_challenges_expire(spark, tmp_path):
-    """A session without a response for longer than its time to live is expired; the one that passed is too, from then on."""
-    import time
-
-    from callgrain.streaming import operators as op
-
-    folder, out = str(tmp_path / "in"), []
-    shape = "event_id long, user_id long, value double"
-    spark.createDataFrame([(1, 1, 0.5), (2, 2, 99.0)], shape).coalesce(1).write.parquet(folder)
-    stream = op.challenges(spark.readStream.schema(shape).parquet(folder), ttl_ms=500)
-    run = stream.writeStream.foreachBatch(lambda batch, _: out.extend(batch.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
-    until = time.monotonic() + 90
-    while sum(r.verdict == "EXPIRED" for r in out) < 2 and time.monotonic() < until:
-        time.sleep(0.5)
-    run.stop()
-    assert [r.verdict for r in out if r.call_id == 1] == ["RETRY", "EXPIRED"] and [r.verdict for r in out if r.call_id == 2][0] == "PASS"
