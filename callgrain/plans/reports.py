@@ -294,10 +294,10 @@ def q_dataset_plan(spark, sf_dir):
     return dg.plan(speakers, 40, 3, ["relay", "direct", "hardneg_tv"], 1, 2).select("file", "label", "i", "split", "seed")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_shipmode AS codec1, l_returnflag AS codec2 FROM lineitem), h AS (SELECT * FROM p ORDER BY md5('5:' || codec1 || ':' || codec2), 1, 2 LIMIT 1)
-SELECT l_shipmode AS codec1, l_returnflag AS codec2, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM h WHERE codec1 = l_shipmode AND codec2 = l_returnflag) GROUP BY ALL""")
+@query("""WITH p AS (SELECT DISTINCT l_linestatus AS codec1, l_returnflag AS codec2 FROM lineitem), h AS (SELECT * FROM p ORDER BY md5('5:' || codec1 || ':' || codec2), 1, 2 LIMIT 1)
+SELECT l_linestatus AS codec1, l_returnflag AS codec2, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM h WHERE codec1 = l_linestatus AND codec2 = l_returnflag) GROUP BY ALL""")
 def q_codec_pairs(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_shipmode").alias("codec1"), F.col("l_returnflag").alias("codec2"))
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("codec1"), F.col("l_returnflag").alias("codec2"))
     counts = rows.groupBy("codec1", "codec2").agg(F.count("*").alias("n"))
     return counts.join(dg.held_out(counts.select("codec1", "codec2"), 1, 5), ["codec1", "codec2"], "left_anti")
 

@@ -19,10 +19,12 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from callgrain.operators.biometrics import THRESHOLDS, judged
 
 MICROS = 1_000_000
+#: Stands for a null key. One null among whole numbers would make them floats on their way to a task, which states take for nulls.
+NOBODY = -(1 << 63)
 
 
 class Ordered(StatefulProcessor):
-    """Rows (at, tie, ...) of a key in the order of ``at``, in microseconds, then ``tie``; a null key's rows are passed over.
+    """Rows (at, tie, ...) of a key in the order of ``at``, in microseconds, then ``tie``; NOBODY's rows only move the watermark.
 
     A subclass says what the columns after ``tie`` are (``shape``), what its rows give (``out``), and has take(),
     which gets what the watermark has passed and returns rows of ``out`` and when it wants to be asked again, or None.
@@ -36,7 +38,7 @@ class Ordered(StatefulProcessor):
         self.waiting = handle.getListState("waiting", f"at long, tie long, {self.shape}")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
+        if key[0] == NOBODY:
             return iter(())
         names = ["at", "tie", *[c.split()[0] for c in self.shape.split(", ")]]
         new = [tuple(None if pd.isna(v) else v for v in r) for batch in rows for r in batch[names].astype(object).itertuples(index=False, name=None)]
@@ -104,7 +106,8 @@ class Smoothing(Ordered):
 
 
 def _states(stream: DataFrame, processor: Ordered, key: str, out: str, initial: DataFrame | None = None) -> DataFrame:
-    return stream.groupBy(key).transformWithStateInPandas(processor, out, "append", "eventTime", initial.groupBy(key) if initial is not None else None)
+    whole = {c: F.coalesce(F.col(c), F.lit(NOBODY)) for c in (key, "at", "tie")}
+    return stream.withColumns(whole).groupBy(key).transformWithStateInPandas(processor, out, "append", "eventTime", initial.groupBy(key) if initial is not None else None)
 
 
 def smoothed(stream: DataFrame, late: str = "1 hour", alpha: float = 0.4, idle_s: float = 3600.0) -> DataFrame:

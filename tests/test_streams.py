@@ -49,7 +49,7 @@ def test_smoothing_of_shuffled_files(spark, tmp_path):
     for piece in pieces:  # within a file, and between neighbours, in any order
         batches.append(rng.sample(piece, len(piece)))
     batches[1][:8], batches[2][:8] = batches[2][:8], batches[1][:8]
-    batches.append([(None, 900, at(1_000_000), 0.5)])
+    batches.append([(None, None, at(1_000_000), 0.5), *batches.pop()])  # nulls beside other rows
     batches.append([(3, 901, at(5), 0.9), (7, 902, at(2_000_000), 0.9)])  # the first one is too late
     batches.append([(None, 903, at(FAR), 0.5)])
     progress = []
