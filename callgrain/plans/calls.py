@@ -9,6 +9,7 @@ from callgrain import service
 from callgrain.operators import calls as ca
 from callgrain.operators import changepoint as cp
 from callgrain.operators import conversation as talk
+from callgrain.operators import channel as ch
 from callgrain.operators import datagen as dg
 from callgrain.operators import scenes as sc
 from callgrain.operators import segments as seg
@@ -212,3 +213,11 @@ def q_wav_round_trip(spark, sf_dir):
     return rows.select("call_id", F.size("samples").cast("long").alias("n"), far.alias("far"))
 
 
+
+
+@query()
+def q_channel_switches(spark, sf_dir):
+    """Where the channel of the stand-in calls switches: (call_id, n, stability, score, times, strengths)."""
+    found = ch.switches(src.calls(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "call_id"))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 3)).alias(c)
+    return found.select("call_id", "n", F.round("stability", 6).alias("stability"), F.round("score", 6).alias("score"), rounded("times"), rounded("strengths"))

@@ -12,8 +12,12 @@ from callgrain.sources import tables as src
 
 @query()
 def q_features(spark, sf_dir):
-    """Windows of two seconds: each value of the stand-in signal lasts 512 samples, so that one has many frames."""
+    """Windows of two seconds: each value of the stand-in signal lasts 512 samples, so that one has many frames.
+
+    A call's values are few bytes before they become samples, so calls are dealt out by number and not by size.
+    """
     calls = src.signal(spark, sf_dir).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x / 500).alias("values"))
+    calls = calls.repartition(4 * spark.sparkContext.defaultParallelism, "call_id")
     calls = calls.select("call_id", F.flatten(F.transform("values", lambda x: F.array_repeat(x, 512))).alias("samples"))
     return cx.features(win.array_windows(calls, 32000, 16000))
 

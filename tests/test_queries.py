@@ -12,7 +12,7 @@ def users(spark):
     return spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
 
 
-@pytest.mark.parametrize("name", ["q_conversation", "q_scenes", "q_replays", "q_quality", "q_analyze", "q_wav_round_trip"])
+@pytest.mark.parametrize("name", ["q_conversation", "q_scenes", "q_replays", "q_quality", "q_analyze", "q_wav_round_trip", "q_channel_switches"])
 def test_a_row_for_each_call(spark, users, name):
     rows = catalog.queries()[name](spark, SF).collect()
     assert len(rows) == users == len({r.call_id for r in rows})
