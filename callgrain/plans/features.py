@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callgrain.operators import context as cx
+from callgrain.operators import learning as le
+from callgrain.operators import splits as sl
 from callgrain.operators import windows as win
 from callgrain.plans.registry import query
 from callgrain.sources import tables as src
@@ -36,5 +38,8 @@ def q_platt_fit(spark, sf_dir):
 
 @query()
 def q_gbt_scores(spark, sf_dir):
+    """Boosted trees, fitted on 70 % of the labelled documents of each source; scores of the others."""
     rows = src.labelled(spark, sf_dir).withColumn("n_source", F.regexp_extract("source", "([0-9]+)", 1).cast("double"))
-    return cx.boosted_scores(rows, ["score", "n_source"], 5).select("doc_id", "y", F.round("gbm", 6).alias("gbm"))
+    parts = sl.seventy_thirty(rows, ["source"], F.col("doc_id").cast("string"), "doc_id").withColumnRenamed("score", "first")
+    score, *_ = le.boosted(parts.filter("part <> 'holdout'"), None, ["first", "n_source"], rounds=5)
+    return score(parts.filter("part <> 'train'")).select("doc_id", "y", F.round("score", 6).alias("gbm"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callgrain.operators import fusion as fu
+from callgrain.operators import guardrails as gr
 from callgrain.operators import metrics as me
 from callgrain.plans.registry import query
 from callgrain.sources import tables as src
@@ -202,3 +203,20 @@ def q_boost_oversample(spark, sf_dir):
 
     rows = oversample(src.table(spark, sf_dir, "labels").select("doc_id", "toxic"), F.when(F.col("toxic") == 1, 3.0).otherwise(1.0))
     return rows.select("doc_id", F.col("copy").cast("long"))
+
+
+@query("""WITH d AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'no json' ELSE '{"quantization_noise": {"noise_flatness": ' || value || ', "flag": ' || (event_id % 2 = 0)::VARCHAR || ', "deep": {"x": 1}}, "rt60": "'
+|| CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE (event_id % 10)::VARCHAR || '.5' END || '", "rt60_s": ' || event_id || ', "dead_floor": ' || (event_id % 5 = 0)::VARCHAR || ', "n_clusters": [1], "n_speakers": 2' || '}' END AS j FROM events)
+SELECT event_id, CASE WHEN json_valid(j) THEN coalesce(try_cast(j->>'$.rt60' AS DOUBLE), (j->>'$.rt60_s')::DOUBLE) END AS rt60,
+CASE WHEN json_valid(j) THEN (j->>'$.quantization_noise.noise_flatness')::DOUBLE END AS flat, CASE WHEN json_valid(j) THEN (event_id % 2 = 0)::INT::DOUBLE END AS flag,
+CASE WHEN json_valid(j) THEN (event_id % 5 = 0)::INT::DOUBLE END AS dead, CASE WHEN json_valid(j) THEN 2.0::DOUBLE END AS clusters, CASE WHEN json_valid(j) THEN 5 ELSE 0 END::BIGINT AS known FROM
+(SELECT event_id, j FROM d)""")
+def q_detail_numbers(spark, sf_dir):
+    """Details that come as JSON, through VARIANT: nested objects, booleans, texts that are numbers and texts that are not."""
+    e, text = F.col("event_id"), lambda c: c.cast("string")
+    rt60 = F.when(e % 3 == 0, "unknown").otherwise(F.concat(text(e % 10), F.lit(".5")))
+    said = F.concat(F.lit('{"quantization_noise": {"noise_flatness": '), text(F.col("value")), F.lit(', "flag": '), text(e % 2 == 0), F.lit(', "deep": {"x": 1}}, "rt60": "'), rt60, F.lit('", "rt60_s": '), text(e), F.lit(', "dead_floor": '), text(e % 5 == 0), F.lit(', "n_clusters": [1], "n_speakers": 2}'))
+    rows = src.table(spark, sf_dir, "events").select("event_id", F.when(e % 7 == 0, F.lit(None)).when(e % 11 == 0, "no json").otherwise(said).alias("details"))
+    found = gr.as_numbers(rows)
+    known = F.size(F.map_filter("details", lambda k, v: k != "rt60"))
+    return found.select("event_id", gr.detail(gr.RT60).alias("rt60"), gr.detail(gr.FLAT).alias("flat"), gr.detail(("quantization_noise.flag",)).alias("flag"), gr.detail(gr.SUPPRESSED).alias("dead"), gr.detail(gr.CLUSTERS).alias("clusters"), known.cast("long").alias("known"))
