@@ -319,7 +319,6 @@ def test_learning(spark, tmp_path):
     assert scaler.size[1] == 1.0 and scaler.size[0] == pytest.approx(np.std([r[3] for r in rows]))
     score, *_ = le.boosted(table, None, ["a", "b", "c"], boost={"direct": 2.0}, rounds=5)
     assert score(table).filter("score between 0 and 1").count() == 200
-    assert le.network(table, ["a", "b"], rounds=10)(table).filter("score between 0 and 1").count() == 200
     assert le.positive_weight(table) == pytest.approx(133 / 67)
     long = table.selectExpr("file as call_id", "y", "stack(2, 'a', a, 'b', b) as (name, score)").filter("name = 'a' or y = 1")
     fuser = le.Fuser.fit(long)

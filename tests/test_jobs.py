@@ -61,9 +61,11 @@ def test_training_says_where_it_is(spark, tmp_path):
     said = []
     uploads = anchor.filter("split = 'dev'").select(F.concat(F.lit("u/"), "file").alias("file"), "label", "samples")
     with service.training(versions).run("train") as job:
-        report = le.training_job(anchor, uploads, versions, keep=lambda df: df.cache(), rounds=3, say=lambda s: (said.append(s), job.say(s)))
-    assert said == ["uploads", "anchor", "fit", "judge", "store"] and service.training(versions).status()["state"] == "done"
+        report = le.training_job(anchor, uploads, versions, keep=lambda df: df.cache(), rounds=3, say=lambda s: (said.append(s), job.say(s)), network={"epochs": 2, "tasks": 2, "channels": (2, 4), "dense": 4})
+    assert said == ["uploads", "anchor", "fit", "judge", "network", "store"] and service.training(versions).status()["state"] == "done"
     assert report["windows"] == 12 + 4 and report["dev"]["n"] == 4 and 1 <= report["rounds"] <= 3  # dev files are not trained on
+    assert report["best"] in ("gbm", "cnn") and 0 <= report["dev_network"] <= 1
+    assert service.active_network(spark, versions).dev_auc == report["dev_network"] and service.active_detector(spark, versions)
     with service.training(versions).run("train"), pytest.raises(jb.Busy):
         service.train(store, anchor, versions)
 
