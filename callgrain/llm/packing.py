@@ -11,21 +11,19 @@ another, and the rows of these bins alone are joined to it.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from typing import TYPE_CHECKING
 
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import Memo, arrow_map, partitions, written
-from callgrain.llm.tokens import byte_letters, check_byte_level, cut, pieces_of
-
-if TYPE_CHECKING:
-    from tokenizers import Tokenizer
+from callgrain.llm._shared import arrow_map, partitions, written
+from callgrain.llm.tokens import PIECES, byte_letters, check_byte_level, classes
 
 #: Open bins in the second round's tasks: all that one task gets.
 ROUND_BINS = 4096
@@ -74,62 +72,49 @@ class BestFit:
                 yield own, self.size - space
 
 
-class _Pieces(Memo):
-    """Little-endian unsigned 32-bit ids of the pieces that the vocabulary's pattern gives."""
-
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        super().__init__()
-        self.tokenize = tokenizer.model.tokenize
-        self.letters = {byte: letter for letter, byte in byte_letters().items()}
-
-    def __missing__(self, piece: str) -> bytes:
-        if (known := self.older(piece)) is not None:
-            return known
-        if piece.isascii() and piece.isprintable():
-            shown = piece.replace(" ", self.letters[ord(" ")])
-        else:
-            shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-        self.keep(piece, ids)
-        return ids
+def _by_ranks(spec: dict) -> tiktoken.Encoding | None:
+    """The vocabulary as ranks, which are merged much faster; None unless it is cut and merged so.
 
-
-class _Ids(Memo):
-    """The same of the parts that cut() gives, where the vocabulary is cut so; else of whole texts alone."""
+    Merges are taken by rank there, and ranks are identifiers: those of merges must follow their order. Texts are
+    cut by the library's own classes of code points, so both give the same ids.
+    """
+    try:
+        check_byte_level(spec)
+    except ValueError:
+        return None
+    vocabulary, letters = spec["model"]["vocab"], byte_letters()
+    made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in spec["model"]["merges"]]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    if made != sorted(set(made)) or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    pattern = PIECES.format(**{k: re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", v) for k, v in classes().items()})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Ids:
+    """Little-endian unsigned 32-bit ids of whole texts."""
 
     def __init__(self, path: str) -> None:
         import os
 
-        super().__init__()
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.split = _Pieces(self.tokenizer), pieces_of()
-        try:
-            check_byte_level(json.loads(self.tokenizer.to_str()))
-            self.parts = True
-        except ValueError:
-            self.parts = False
-
-    def __missing__(self, part: str) -> bytes:
-        if (known := self.older(part)) is not None:
-            return known
-        ids = b"".join(map(self.pieces.__getitem__, self.split(part)))
-        self.keep(part, ids)
-        return ids
+        self.ranks = _by_ranks(json.loads(self.tokenizer.to_str()))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str | None) -> bytes:
-        """Ids of a whole text: parts and pieces known from earlier ones are not tokenised again."""
+        """By ranks, unless the vocabulary is of another kind or the text has a special string in it."""
         if not text:
             return b""
-        parts = cut(text) if self.parts and not any(m in text for m in self.marks) else None
-        return self.whole(text) if parts is None else b"".join(map(self.__getitem__, parts))
+        if self.ranks is None or any(m in text for m in self.marks):
+            return self.whole(text)
+        return array("I", self.ranks.encode_ordinary(text)).tobytes()
 
 
 _ids: dict[str, _Ids] = {}

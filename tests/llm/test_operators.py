@@ -93,11 +93,11 @@ def test_ids_are_the_librarys(text):
     assert ids.of(text) == ids.whole(text)
 
 
-def test_forgotten_ids_are_found_again():
-    ids = packing._Ids(queries.vocabulary())
-    ids.most = ids.pieces.most = 400
-    text = "one two, one\ntwo three " * 20 + "one"
-    assert ids.of(text) == ids.whole(text)
+def test_ids_of_long_pieces_and_special_strings():
+    ids = packing.ids_of(queries.vocabulary())
+    assert ids.ranks is not None
+    for text in ("a" * 20_000, " " * 5_000 + "x", "ab" * 9_000, "é漢" * 3_000, "!?" * 4_000, "\n" * 3_000, "one <|endoftext|> two", "<|endoftext|>"):
+        assert ids.of(text) == ids.whole(text)
 
 
 def test_topk_is_exact(spark, monkeypatch):
