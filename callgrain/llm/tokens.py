@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm._shared import Memo, arrow_map
+from callgrain.llm._shared import MEMO_BYTES, Memo, arrow_map
 
 #: Fixed value: the pattern that cuts texts of this family of vocabularies, with letters L, numbers N and white space S.
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -126,12 +126,13 @@ class MergeCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = special
         self.pieces = pieces_of()
-        self.counts, self.parts = Memo(), _Parts(self)
+        # a piece that is cut again is itself, so one memo holds the counts of pieces and of parts
+        self.counts = self.parts = _Parts(self)
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
         known = self.counts.get(text) or self.counts.older(text)
-        if known is None:
+        if not known:
             known = self.merge(text.encode("utf-8", "surrogatepass"))
             self.counts.keep(text, known)
         return known
@@ -143,7 +144,9 @@ class MergeCounter:
         get, joined = self.ranks.get, self.joined
         symbols = list(map(self.first.__getitem__, data))
         rank_at = list(map(get, zip(symbols, symbols[1:], strict=False)))  # of the pair that starts there, None without a merge
-        heap = [rank * n + i for i, rank in enumerate(rank_at) if rank is not None]
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        heap = [rank << shift | i for i, rank in enumerate(rank_at) if rank is not None]
         if not heap:
             return n
         heapq.heapify(heap)
@@ -151,7 +154,8 @@ class MergeCounter:
         after, before = list(range(1, n + 1)), list(range(-1, n))
         left_over = n
         while heap:
-            rank, i = divmod(pop(heap), n)
+            lowest = pop(heap)
+            i, rank = lowest & mask, lowest >> shift
             if rank_at[i] != rank:
                 continue  # one of the two has since been merged
             j = after[i]
@@ -162,12 +166,12 @@ class MergeCounter:
             before[k] = i
             rank_at[i] = found = get((new, symbols[k])) if k < n else None
             if found is not None:
-                push(heap, found * n + i)
+                push(heap, found << shift | i)
             h = before[i]
             if h >= 0:
                 rank_at[h] = found = get((symbols[h], new))
                 if found is not None:
-                    push(heap, found * n + h)
+                    push(heap, found << shift | h)
         return left_over
 
     def plain(self, text: str) -> int:
@@ -189,13 +193,18 @@ class _Parts(Memo):
     """Counts of the parts that cut() gives."""
 
     def __init__(self, counter: MergeCounter) -> None:
-        super().__init__()
+        super().__init__(2 * MEMO_BYTES)
         self.counter = counter
 
     def __missing__(self, part: str) -> int:
         if (known := self.older(part)) is not None:
             return known
-        n = sum(map(self.counter.piece, self.counter.pieces(part)))
+        counter, body = self.counter, part.removeprefix(" ")
+        if body.isascii() and body.isalpha():  # one piece
+            n = counter.merge(part.encode())
+        else:
+            pieces = counter.pieces(part)
+            n = counter.merge(part.encode("utf-8", "surrogatepass")) if len(pieces) == 1 else sum(map(counter.piece, pieces))
         self.keep(part, n)
         return n
 
@@ -213,8 +222,8 @@ def counter(path: str) -> MergeCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
-    Narrow: no shuffle, and each task holds one Arrow batch of bounded bytes and memos of
-    MEMO_BYTES each. A vocabulary of another kind than byte-level pairs raises ValueError.
+    Narrow: no shuffle, and each task holds one Arrow batch of bounded bytes and a memo of
+    2 * MEMO_BYTES. A vocabulary of another kind than byte-level pairs raises ValueError.
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null ids are
     rows like others. Further columns of ``docs`` are not read. A very long text
     takes O(n log n) for its longest piece.
