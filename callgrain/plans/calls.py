@@ -218,6 +218,6 @@ def q_wav_round_trip(spark, sf_dir):
 @query()
 def q_channel_switches(spark, sf_dir):
     """Where the channel of the stand-in calls switches: (call_id, n, stability, score, times, strengths)."""
-    found = ch.switches(src.calls(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "call_id"))
+    found = ch.switches(src.calls(spark, sf_dir))
     rounded = lambda c: F.transform(c, lambda x: F.round(x, 3)).alias(c)
     return found.select("call_id", "n", F.round("stability", 6).alias("stability"), F.round("score", 6).alias("score"), rounded("times"), rounded("strengths"))
