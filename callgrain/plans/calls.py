@@ -14,8 +14,9 @@ from callgrain.operators import datagen as dg
 from callgrain.operators import scenes as sc
 from callgrain.operators import segments as seg
 from callgrain.operators import windows as win
+from callgrain.operators.ranked import quantiles
 from callgrain.plans.registry import query
-from callgrain.plans.signal import SIG
+from callgrain.plans.signal import SIG, levels
 from callgrain.sources import audio as files
 from callgrain.sources import tables as src
 
@@ -124,8 +125,7 @@ LEVELS = SIG + ", f AS (SELECT call_id, i // 5 AS f, 20 * log10(sqrt(avg(x * x))
 
 
 def _levels(spark, sf_dir):
-    rms = F.sqrt(F.avg(F.col("x") * F.col("x")))
-    return src.signal(spark, sf_dir).groupBy("call_id", F.floor(F.col("i") / 5).alias("f")).agg((20 * F.log10(rms)).alias("db"), (F.max("x") / rms).alias("crest"))
+    return levels(src.signal(spark, sf_dir))
 
 
 @query(f"WITH {LEVELS} SELECT call_id, round(avg(crest), 5) AS crest FROM f GROUP BY call_id")
@@ -135,13 +135,13 @@ def q_crest(spark, sf_dir):
 
 @query(f"WITH {LEVELS} SELECT call_id, round(hi - lo, 5) AS dyn_range FROM q")
 def q_dyn_range(spark, sf_dir):
-    return _levels(spark, sf_dir).groupBy("call_id").agg(F.round(F.percentile("db", F.lit(0.95)) - F.percentile("db", F.lit(0.05)), 5).alias("dyn_range"))
+    rows = quantiles(_levels(spark, sf_dir), "db", {"hi": 0.95, "lo": 0.05})
+    return rows.groupBy("call_id").agg(F.round(F.first(F.col("hi") - F.col("lo")), 5).alias("dyn_range"))
 
 
 @query(f"WITH {LEVELS} SELECT call_id, round(avg((db >= hi - 1.5)::INT), 6) AS plateau FROM f JOIN q USING (call_id) GROUP BY call_id")
 def q_plateau(spark, sf_dir):
-    high = F.percentile("db", F.lit(0.95)).over(Window.partitionBy("call_id"))
-    return _levels(spark, sf_dir).withColumn("hi", high).groupBy("call_id").agg(F.round(F.avg((F.col("db") >= F.col("hi") - 1.5).cast("int")), 6).alias("plateau"))
+    return quantiles(_levels(spark, sf_dir), "db", {"hi": 0.95}).groupBy("call_id").agg(F.round(F.avg((F.col("db") >= F.col("hi") - 1.5).cast("int")), 6).alias("plateau"))
 
 
 @query(f"WITH {SIG}, d AS (SELECT call_id, abs(x - lag(x) OVER (PARTITION BY call_id ORDER BY i)) AS d FROM sig) SELECT call_id, round(avg(d), 5) AS flux FROM d GROUP BY call_id HAVING count(d) > 0")
