@@ -70,7 +70,7 @@ def stratified(rows: DataFrame, index: Column) -> DataFrame:
 def seventy_thirty(rows: DataFrame, by: list[str], key: Column, tie: str, least: int = 10) -> DataFrame:
     """Adds ``part``: train for 70 % of each group in a hashed order, else holdout; all of a small group are both."""
     ranked = hash_rank(rows, by, key, tie)
-    part = F.when(F.col("n") < least, "in-sample").when(F.col("r") <= F.greatest(F.lit(1), F.round(0.7 * F.col("n"))), "train").otherwise("holdout")
+    part = F.when(F.col("n") < least, "in-sample").when(F.col("r") <= F.greatest(F.lit(1), F.floor((7 * F.col("n") + 5) / 10)), "train").otherwise("holdout")
     return ranked.withColumn("part", part).drop("r", "n")
 
 
