@@ -19,6 +19,7 @@ from callgrain.plans.registry import query
 from callgrain.plans.signal import SIG, levels
 from callgrain.sources import audio as files
 from callgrain.sources import tables as src
+from callgrain.sources.stores import kept
 
 FRAMES = SIG + ", fr AS (SELECT call_id, i, x AS rms_db, (i % 8) / 10.0::DOUBLE AS flatness, (i % 11) / 20.0::DOUBLE AS zcr FROM sig)"
 
@@ -181,7 +182,7 @@ def q_turns(spark, sf_dir):
 
 @query()
 def q_conversation(spark, sf_dir):
-    return talk.analyze(src.calls(spark, sf_dir))
+    return talk.analyze(src.calls(spark, sf_dir), kept)
 
 
 @query()
