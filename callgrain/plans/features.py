@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from callgrain.operators import context as cx
 from callgrain.operators import learning as le
 from callgrain.operators import splits as sl
-from callgrain.operators import windows as win
 from callgrain.plans.registry import query
 from callgrain.sources import tables as src
 
@@ -21,7 +20,7 @@ def q_features(spark, sf_dir):
     calls = src.signal(spark, sf_dir).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x / 500).alias("values"))
     calls = calls.repartition(4 * spark.sparkContext.defaultParallelism, "call_id")
     calls = calls.select("call_id", F.flatten(F.transform("values", lambda x: F.array_repeat(x, 512))).alias("samples"))
-    return cx.features(win.array_windows(calls, 32000, 16000))
+    return cx.call_features(calls, 32000, 16000)
 
 
 @query()
