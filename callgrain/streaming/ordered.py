@@ -2,12 +2,13 @@
 
 Rows of a key wait in its state until the watermark has passed them, and are then taken by time. So files may
 come in any order within the watermark's delay; a later row is dropped by Spark, and counted in the query's
-progress. A timer at the end of a key's life clears its state. These queries keep their state in RocksDB, which
+progress. What a batch brings a key is one element of its state, since each element costs a state operation. A timer at the end of a key's life clears its state. These queries keep their state in RocksDB, which
 run() asks for.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,25 +36,28 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, tie long, {self.shape}")
+        self.waiting = handle.getListState("waiting", "rows string")  # a batch's rows of the key, as JSON
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if key[0] == NOBODY:
             return iter(())
-        names = ["at", "tie", *[c.split()[0] for c in self.shape.split(", ")]]
-        new = [tuple(None if pd.isna(v) else v for v in r) for batch in rows for r in batch[names].astype(object).itertuples(index=False, name=None)]
-        if new:
-            self.waiting.appendList(new)
-            self._ask(min(r[0] for r in new))
+        names, first = ["at", "tie", *[c.split()[0] for c in self.shape.split(", ")]], None
+        for batch in rows:
+            new = list(zip(*[[None if v is None or v != v else v for v in batch[c].tolist()] for c in names], strict=True))
+            if new:
+                self.waiting.appendValue((json.dumps(new),))
+                first = min(r[0] for r in new) if first is None else min(first, *[r[0] for r in new])
+        if first is not None:
+            self._ask(first)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        rows = sorted([r for part, in self.waiting.get() for r in json.loads(part)], key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
         due = [r for r in rows if r[0] <= now]
         if later := rows[len(due) :]:
             if due:
-                self.waiting.put(later)
+                self.waiting.put([(json.dumps(later),)])
             self._ask(later[0][0])
         elif rows:
             self.waiting.clear()
@@ -66,7 +70,7 @@ class Ordered(StatefulProcessor):
     def _ask(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000))
 
-    def take(self, due: list[tuple], now: int) -> tuple[list[tuple], int | None]:
+    def take(self, due: list[list], now: int) -> tuple[list[tuple], int | None]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -85,8 +89,8 @@ class Smoothing(Ordered):
         super().init(handle)
         self.last = handle.getValueState("last", "smoothed double, n long, at long")
 
-    def take(self, due: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        e, n, at = self.last.get() if self.last.exists() else (None, 0, None)
+    def take(self, due: list[list], now: int) -> tuple[list[tuple], int | None]:
+        e, n, at = self.last.get() or (None, 0, None)
         made = []
         for t, event, score in due:
             if at is not None and t - at > self.idle:  # another call under the same id
@@ -142,16 +146,16 @@ class Challenges(Ordered):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.session = handle.getValueState("session", "digits string, channel string, expires long, retries int, done string")
-        self.answered = handle.getListState("answered", "tie long")
+        self.answered = handle.getValueState("answered", "ties string")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
         for r in initialState.itertuples():
             self.session.update((r.digits, r.channel, int(r.expires_at * MICROS), int(r.retries), ""))
             self._ask(int(r.expires_at * MICROS) + 1000)
 
-    def take(self, due: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        session = Session(*self.session.get()) if self.session.exists() else None
-        known = {r[0] for r in self.answered.get()} if self.answered.exists() else set()
+    def take(self, due: list[list], now: int) -> tuple[list[tuple], int | None]:
+        held, ties = self.session.get(), self.answered.get()
+        session, known = Session(*held) if held else None, set(json.loads(ties[0])) if ties else set()
         before, made = len(known), []
 
         def passed(to: int) -> None:
@@ -193,7 +197,7 @@ class Challenges(Ordered):
         return made, session.expires + (0 if not session.done else self.keep) + 1000
 
     def _remember(self, known: set[int]) -> None:
-        self.answered.put([(x,) for x in sorted(known)])
+        self.answered.update((json.dumps(sorted(known)),))
 
 
 def digits_of(session_id: Column, at: Column) -> Column:

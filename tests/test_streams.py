@@ -4,6 +4,7 @@ import hashlib
 import random
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,30 @@ def test_challenge_query(spark):
     rows = catalog.queries()["q_stream_challenges"](spark, "/root/testdata/sf0.001").collect()
     assert rows and {"EXPIRED", "FAIL"} <= {r.verdict for r in rows}
     assert len({(r.session_id, r.response_id) for r in rows if r.response_id is not None}) == sum(r.response_id is not None for r in rows)
+
+
+def test_rows_of_a_batch_are_one_element_of_the_state():
+    class Handle:
+        def __init__(self):
+            self.elements, self.timers = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def getValueState(self, *_):
+            return self
+
+        def appendValue(self, value):
+            self.elements.append(value)
+
+        def appendList(self, values):
+            self.elements.extend(values)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    handle, processor = Handle(), ordered.Smoothing(0.4, 60)
+    processor.init(handle)
+    rows = pd.DataFrame({"call_id": 1, "at": range(5000, 5050), "tie": range(50), "score": [None, *[0.5] * 49]})
+    list(processor.handleInputRows((1,), iter([rows]), None))
+    assert len(handle.elements) == 1 and handle.timers == [5]
